@@ -4,17 +4,16 @@ Jaccard distance d = 1 - similarity is a metric.  In n-gram space, though, docum
 each other, so pivots drawn at random would have every document on every boundary.  The pivots are therefore chosen among
 documents that can have a partner at all:
 
-1.  Each distinct n-gram set emits its prefix: its grams that come first in one global order, rarest first by a fixed-size table of counts over
-    the whole corpus, as many as a pair of the threshold's similarity must share one of.  Sets whose prefix grams nobody
-    shares have no partner.
-2.  Pivots and Voronoi regions: the least set of each prefix gram is a pivot; every set belongs to the region of the pivot it shares the
-    most prefix grams with, its nearest.
-3.  Boundaries: a set that shares a prefix gram with a member of another region may have its partner there and is replicated to it.  In
-    the region, distances to the pivot are computed, and by the triangle inequality only replicas at most t (= 1 - threshold)
-    beyond the farthest member stay.
+1.  Each n-gram set emits its prefix: its grams that come first in one global order, rarest first by a fixed-size table of counts over the whole
+    corpus, as many as a pair of the threshold's similarity must share one of.  They travel packed, bucket by bucket of the gram hash, and
+    numpy finds in each bucket which are shared.
+2.  Pivots and Voronoi regions: the least set that holds a gram is the gram's pivot.  A set can only be within t (= 1 - threshold) of sets with which
+    it shares a prefix gram, so it belongs to the regions of its grams' pivots; in most cases one.  It is replicated to further regions
+    only where it lies on a boundary, that is, where some set of that region has no earlier region in common with it.
+3.  In a region the distances to the pivot are computed; by the triangle inequality only replicas at most t beyond its farthest core member stay,
+    and |d(x, p) - d(y, p)| <= t prunes pairs.
 4.  Regions join recursively: a large region is divided again around pivots of its own, with windows d(x, q) <= d(x, p(x)) + 2 t,
-    until it is small or no longer shrinks; then |d(x, p) - d(y, p)| <= t prunes pairs and exact intersections decide.
-    A pair is reported in the home region of its lesser set only.  Regions too large for one task are joined as tiles.
+    until it is small or no longer shrinks; exact intersections decide.  Regions too large for one task are joined as tiles.
 
 Every step keeps each pair of the threshold, so the result is exact.  Equal sets share one row throughout and meet when pairs are reported.
 """
@@ -30,17 +29,20 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, as_long, gram_hashes, map_columns, mix, settled, texts
-from .line_dedup import joined
+from .common import WordHashes, gram_hashes, map_columns, mix, settled, texts
 
-N = 3
-THRESHOLD = 0.7
+N = 5
+THRESHOLD = 0.5
 #: Slots of the table of gram counts; its size does not depend on the data.
 SLOTS = 1 << 20
+#: Prefix grams of one bucket that a task sorts at a time.
+BUCKET = 3_000_000
 #: Sets of a region that one task holds of each side; larger regions are joined tile by tile.
 TILE = 1500
 #: Regions up to this size are not divided again.
 LEAF = 256
+#: Bytes up to which the sets that have a place are sent to all executors to meet their texts; beyond, both sides are shuffled.
+BROADCAST_BYTES = 64 << 20
 PAIRS = "doc_a bigint, doc_b bigint, jaccard double"
 
 
@@ -56,18 +58,39 @@ def prefix_length(size: int, threshold: float) -> int:
     return size - math.ceil(threshold * size - 1e-9) + 1
 
 
-class _Count:
+def _names(grams: np.ndarray) -> tuple[int, int]:
+    """128 bits that name a set, as two signed integers."""
+    x = xxhash.xxh3_128_digest(grams.tobytes())
+    return int.from_bytes(x[:8], "little", signed=True), int.from_bytes(x[8:], "little", signed=True)
+
+
+class _Survey:
+    """First reading: the name and size of each document's set, and at the end the task's counts by slot."""
+
     def __init__(self, n):
-        self.n, self.hashes, self.total = n, WordHashes(), np.zeros(SLOTS, np.int64)
+        self.n, self.hashes, self.total, self.seen = n, WordHashes(), np.zeros(SLOTS, np.int64), [],
 
     def __call__(self, batch):
-        for t in batch.column(1).to_pylist():
-            if t:
-                np.add.at(self.total, _slot(gram_set(self.hashes, t, self.n)), 1)
+        ids, texts_ = batch.column(0).to_pylist(), batch.column(1)
+        for at in range(0, len(ids), 2000):
+            out: dict = {"doc_id": [], "h1": [], "h2": [], "n": [], "counts": []}
+            for i, t in zip(ids[at : at + 2000], texts_.slice(at, 2000).to_pylist()):
+                g = gram_set(self.hashes, t, self.n)
+                if len(g):
+                    for c, v in zip(out, (i, *_names(g), len(g), None)):
+                        out[c].append(v)
+                    self.seen.append(g)
+            self.count()
+            yield out
+
+    def count(self):
+        if self.seen:
+            self.total += np.bincount(_slot(np.concatenate(self.seen)), minlength=SLOTS)
+            self.seen = []
 
     def close(self):
         if self.total.any():
-            yield {"part": [int(self.total.sum() % 16)], "counts": [np.minimum(self.total, 65535).astype("<u2").tobytes()]}
+            yield {"doc_id": [None], "h1": [None], "h2": [None], "n": [int(self.total.sum())], "counts": [np.minimum(self.total, 65535).astype("<u2").tobytes()]}
 
 
 class _Add:
@@ -76,51 +99,157 @@ class _Add:
 
     def __call__(self, batch):
         for x in batch.column(0).to_pylist():
-            self.total += np.frombuffer(x, "<u2" if len(x) == 2 * SLOTS else "<i8")
+            self.total += np.frombuffer(x, "<u2")
 
     def close(self):
         if self.total.any():
-            yield {"counts": [self.total.astype("<i8").tobytes()]}
+            yield {"counts": [np.minimum(self.total, 2**31 - 1).astype("<i4").tobytes()]}
 
 
-def gram_counts(d: DataFrame, n: int) -> np.ndarray:
+def gram_counts(tables: DataFrame) -> np.ndarray:
     """How often the grams of each slot occur, over all documents: SLOTS numbers, added up in two steps on the executors."""
-    parts = map_columns(d, lambda: _Count(n), "part int, counts binary").repartition(16, "part").select("counts")
     total = np.zeros(SLOTS, np.int64)
-    for r in map_columns(parts, _Add, "counts binary").collect():  # at most 16 tables of fixed size
-        total += np.frombuffer(r.counts, "<i8")
-    return total
+    for r in map_columns(tables.select("counts", (F.col("n") % 8).alias("part")).repartition(8, "part").select("counts"), _Add, "counts binary").toLocalIterator():  # at most 8 tables of fixed size
+        total += np.frombuffer(r.counts, "<i4")
+    return np.minimum(total, 2**31 - 1)
 
 
-def _signatures(n: int, threshold: float, order):
-    hashes = WordHashes()
+class _Prefixes:
+    """Second reading: prefix grams, packed by bucket: for each set its name and number of grams, then 40 bits of each gram."""
 
-    def batch(b):
-        ids, texts_ = b.column(0).to_pylist(), b.column(1)
-        for at in range(0, len(ids), 1000):
-            out: dict = {"doc_id": [], "h1": [], "h2": [], "prefix": []}
-            for i, t in zip(ids[at : at + 1000], texts_.slice(at, 1000).to_pylist()):
-                g = gram_set(hashes, t, n)
-                if len(g):
-                    x = xxhash.xxh3_128_digest(g.tobytes())
-                    k = prefix_length(len(g), threshold)
-                    rank = order.value[_slot(g)]
-                    first = np.lexsort((mix(g), rank))[:k] if k < len(g) else slice(None)
-                    out["doc_id"].append(i)
-                    out["h1"].append(int.from_bytes(x[:8], "little", signed=True))
-                    out["h2"].append(int.from_bytes(x[8:], "little", signed=True))
-                    out["prefix"].append(as_long(g[first]))
-            yield out
+    def __init__(self, n, threshold, order, buckets):
+        self.n, self.threshold, self.order, self.buckets = n, threshold, order.value, buckets
+        self.hashes, self.sids, self.grams, self.held = WordHashes(), [], [], 0
+        self.known: set[int] = set()
 
-    return batch
+    def __call__(self, batch):
+        for t in batch.column(1).to_pylist():
+            g = gram_set(self.hashes, t, self.n)
+            if not len(g):
+                continue
+            sid = _names(g)[0]
+            if sid in self.known:
+                continue
+            self.known.add(sid)
+            k = prefix_length(len(g), self.threshold)
+            if k < len(g):
+                rank = self.order[_slot(g)].astype(np.uint64) << np.uint64(32) | mix(g) >> np.uint64(32)
+                g = g[np.argpartition(rank, k - 1)[:k]]
+            self.sids.append(sid)
+            self.grams.append(g)
+            self.held += k
+            if self.held > 2_000_000:
+                yield self.flush()
+
+    def close(self):
+        if self.held:
+            yield self.flush()
+
+    def flush(self):
+        size = np.array([len(g) for g in self.grams])
+        g = mix(np.concatenate(self.grams))
+        row = np.repeat(np.arange(len(size)), size)
+        b = (g >> np.uint64(40)) % np.uint64(self.buckets)
+        by = np.lexsort((row, b))
+        g, row, b = g[by], row[by], b[by].astype(np.int64)
+        ends = np.searchsorted(b, np.arange(self.buckets + 1))
+        sids = np.array(self.sids, np.int64)
+        out: dict = {"bucket": [], "sids": [], "counts": [], "low": [], "high": []}
+        for k in range(self.buckets):
+            lo, hi = ends[k], ends[k + 1]
+            if lo < hi:
+                own, n = np.unique(row[lo:hi], return_counts=True)
+                x = g[lo:hi]
+                for c, v in zip(out, (k, sids[own].tobytes(), n.astype("<u4").tobytes() if n.max() > 65535 else n.astype("<u2").tobytes(), x.astype("<u4").tobytes(), (x >> np.uint64(32)).astype(np.uint8).tobytes())):
+                    out[c].append(v)
+        self.sids, self.grams, self.held = [], [], 0
+        self.known = set()
+        return out
+
+
+class _Shared:
+    """Reads the rows of one bucket after another: (sid, pivot, number of grams) for each gram that several sets share."""
+
+    def __init__(self):
+        self.bucket, self.rows = None, []
+
+    def __call__(self, batch):
+        for r in zip(*(batch.column(k).to_pylist() for k in range(5))):
+            if r[0] != self.bucket:
+                yield from self.flush()
+                self.bucket = r[0]
+            self.rows.append(r[1:])
+
+    def close(self):
+        yield from self.flush()
+
+    def flush(self):
+        rows, self.rows = self.rows, []
+        if not rows:
+            return
+        sid, gram = [], []
+        for s, c, low, high in rows:
+            s = np.frombuffer(s, np.int64)
+            sid.append(np.repeat(s, np.frombuffer(c, "<u2" if len(c) == 2 * len(s) else "<u4")))
+            gram.append(np.frombuffer(high, np.uint8).astype(np.int64) << 32 | np.frombuffer(low, "<u4"))
+        sid, gram = np.concatenate(sid), np.concatenate(gram)
+        by = np.lexsort((sid, gram))
+        sid, gram = sid[by], gram[by]
+        new = np.r_[True, gram[1:] != gram[:-1]]
+        first = np.flatnonzero(new)
+        group = np.cumsum(new) - 1
+        pivot = sid[first][group]  # the least set of the gram
+        last = sid[np.r_[first[1:], len(sid)] - 1][group]
+        keep = pivot != last
+        keep[1:] &= new[1:] | (sid[1:] != sid[:-1])
+        sid, pivot = sid[keep], pivot[keep]
+        if len(sid):
+            by = np.lexsort((pivot, sid))
+            sid, pivot = sid[by], pivot[by]
+            at = np.flatnonzero(np.r_[True, (sid[1:] != sid[:-1]) | (pivot[1:] != pivot[:-1])])
+            yield {"sid": sid[at], "pivot": pivot[at]}
+
+
+class _Boundaries:
+    """Rows (region, sid, regions of sid) of one region after another: which members it needs, and which of them are its core.
+
+    A pair is decided in the first region that both belong to.  If an earlier region holds everybody, this one has nothing to decide; if it
+    holds some, pairs among those are decided there, the others are the core, and every pair here has one of the core.
+    """
+
+    def __init__(self):
+        self.region, self.rows = None, []
+
+    def __call__(self, batch):
+        for region, sid, own in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            if region != self.region:
+                yield from self.flush()
+                self.region = region
+            self.rows.append((sid, own))
+
+    def close(self):
+        yield from self.flush()
+
+    def flush(self):
+        rows, self.rows = self.rows, []
+        if len(rows) < 2:
+            return
+        earlier: dict[int, int] = {}
+        for _, own in rows:
+            for p in own:
+                if p < self.region:
+                    earlier[p] = earlier.get(p, 0) + 1
+        most = max(earlier, key=lambda p: (earlier[p], -p), default=None)
+        core = [most is None or most not in own for _, own in rows]
+        if any(core):
+            yield {"region": [self.region] * len(rows), "sid": [s for s, _ in rows], "core": core, "size": [len(rows)] * len(rows), "earlier": [[p for p in own if p < self.region] for _, own in rows]}
 
 
 class Region:
     """Exact pairs among the sets of one region (or tile), found by division around pivots."""
 
-    def __init__(self, sets: list[np.ndarray], home: np.ndarray, block: np.ndarray, threshold: float):
+    def __init__(self, sets: list[np.ndarray], threshold: float):
         self.t, self.threshold = 1 - threshold, threshold
-        self.home, self.block = home, block
         self.size = np.array([len(s) for s in sets])
         grams = np.concatenate(sets)
         rows = np.repeat(np.arange(len(sets)), self.size)
@@ -201,29 +330,32 @@ class _Join:
 
     def __call__(self, batch):
         cols = [batch.column(k).to_pylist() for k in range(batch.num_columns)]
-        for region, i, j, block, home, pivot, members, data in zip(*cols):
+        for region, i, j, block, core, earlier, sid, h2, members, data in zip(*cols):
             if (region, i, j) != self.key:
                 yield from self.flush()
                 self.key = (region, i, j)
-            self.rows.append((members, home, block, np.frombuffer(data, np.uint64), pivot))
+            self.rows.append((members, core, block, np.frombuffer(data, np.uint64), sid, h2, earlier))
 
     def close(self):
         yield from self.flush()
 
     def flush(self):
-        rows, self.rows = self.rows, []
+        # rows of one set come from rows of docs that are repeated
+        rows, self.rows = list({(r[4], r[5]): r for r in self.rows}.values()), []
         if len(rows) < 2:
             return
         rows.sort(key=lambda r: r[0][0])
-        _, i, j = self.key
+        region, i, j = self.key
         members = [np.array(r[0], np.int64) for r in rows]
-        home, block = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
-        r = Region([r[3] for r in rows], home, block, self.threshold)
+        core, block = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+        if not core.any():
+            return
+        r = Region([r[3] for r in rows], self.threshold)
         everyone = np.arange(len(rows))
-        if home.any():
-            pivot = next((k for k, x in enumerate(rows) if x[4]), int(np.flatnonzero(home)[0]))
-            d = r.distance(everyone, np.array([pivot]))[:, 0]
-            everyone = everyone[home | (d <= d[home].max() + r.t + 1e-5)]
+        pivot = next((k for k, x in enumerate(rows) if x[4] == region), int(np.flatnonzero(core)[0]))
+        d = r.distance(everyone, np.array([pivot]))[:, 0]
+        everyone = everyone[core | (d <= d[core].max() + r.t + 1e-5)]
+        before = _bits([x[6] for x in rows])
         root = list(range(len(rows)))
 
         def find(x):
@@ -232,10 +364,11 @@ class _Join:
                 x = root[x]
             return x
 
-        for a, b, s in r.pairs(everyone, home[everyone]):
+        for a, b, s in r.pairs(everyone, np.ones(len(everyone), bool)):
+            k = ~(before[a] & before[b]).any(1)  # else decided in an earlier region
             if i != j:
-                k = block[a] != block[b]
-                a, b, s = a[k], b[k], s[k]
+                k &= block[a] != block[b]
+            a, b, s = a[k], b[k], s[k]
             if self.forest:
                 edges = []
                 for x, y in zip(a.tolist(), b.tolist()):
@@ -249,6 +382,20 @@ class _Join:
                 yield from _crossed(members, a, b, s)
 
 
+def _bits(lists: list[list[int]]) -> np.ndarray:
+    """The lists' values as bits, a row for each list."""
+    number: dict[int, int] = {}
+    for x in lists:
+        for v in x:
+            number.setdefault(v, len(number))
+    out = np.zeros((len(lists), len(number) // 64 + 1), np.uint64)
+    for k, x in enumerate(lists):
+        for v in x:
+            at = number[v]
+            out[k, at // 64] |= np.uint64(1) << np.uint64(at % 64)
+    return out
+
+
 def _crossed(members, a, b, s, most: int = 200_000):
     """All document pairs of the pairs of sets, some at a time."""
     n = np.array([len(m) for m in members])
@@ -299,49 +446,44 @@ def _join(docs: DataFrame, n: int, threshold: float, forest: bool) -> tuple[Data
     """(rows of PAIRS between different sets, lists of documents with equal sets)."""
     spark = docs.sparkSession
     d = texts(docs).where("doc_id is not null and text is not null")
-    order = spark.sparkContext.broadcast(np.minimum(gram_counts(d, n), 2**31 - 1).astype(np.int32))
-    signed = settled(map_columns(d, functools.partial(_signatures, n, threshold, order), "doc_id bigint, h1 bigint, h2 bigint, prefix array<bigint>"))
-    members = settled(signed.groupBy("h1", "h2").agg(F.array_sort(F.collect_set("doc_id")).alias("members")))
+    survey = settled(map_columns(d, lambda: _Survey(n), "doc_id bigint, h1 bigint, h2 bigint, n bigint, counts binary"))
+    order = spark.sparkContext.broadcast(gram_counts(survey.where("counts is not null")).astype(np.int32))
+    named = survey.where("counts is null")
+    members = settled(named.groupBy("h1", "h2").agg(F.array_sort(F.collect_set("doc_id")).alias("members")))
+    entries = named.agg(F.sum(F.col("n") * (1 - threshold) + 1)).first()[0] or 0
+    buckets = max(8, math.ceil(entries / BUCKET))
 
     # Up to the regions, 64 bits name a set: if two sets share them, each only gets the other's places as well.
-    by_gram = Window.partitionBy("gram")
-    shared = (
-        signed.select(F.col("h1").alias("sid"), F.explode("prefix").alias("gram"))
-        .withColumns({"pivot": F.min("sid").over(by_gram), "last": F.max("sid").over(by_gram)})
-        .where("pivot != last")
-        .select("sid", "gram", "pivot")
-    )
-    shared = settled(shared)
-    homes = settled(shared.groupBy("sid", "pivot").count().groupBy("sid").agg(F.max_by("pivot", F.struct("count", "pivot")).alias("region")))
-    placed = shared.select("sid", "gram").join(homes, "sid").withColumns({"lo": F.min("region").over(by_gram), "hi": F.max("region").over(by_gram)}).where("lo != hi").select("sid", "gram", "region")
-    placed = settled(placed.distinct())
-    replicas = placed.select("sid", "gram").join(placed.select("gram", "region").distinct(), "gram").select("sid", "region").distinct()
-    places = settled(homes.select("sid", "region", F.lit(True).alias("home")).union(replicas.select("sid", "region", F.lit(False))).groupBy("sid", "region").agg(F.max("home").alias("home")))
-    sizes = places.groupBy("region").agg(F.count("*").alias("n")).where("n > 1").select("region", F.ceil(F.col("n") / TILE).cast("int").alias("blocks"))
-    block = F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")
-    tiles = settled(
-        places.join(sizes, "region").withColumn("block", block)
+    packed = map_columns(d, functools.partial(_Prefixes, n, threshold, order, buckets), "bucket int, sids binary, counts binary, low binary, high binary").repartitionById(buckets, "bucket")
+    shared = map_columns(packed, _Shared, "sid bigint, pivot bigint")
+    own = shared.groupBy("sid").agg(F.array_sort(F.collect_set("pivot")).alias("own"))
+    regions = own.select(F.explode("own").alias("region"), "sid", "own").repartition("region").sortWithinPartitions("region")
+    placed = settled(map_columns(regions, _Boundaries, "region bigint, sid bigint, core boolean, size int, earlier array<bigint>"))
+    blocks = F.ceil(F.col("size") / TILE).cast("int")
+    tiles = (
+        placed.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("sid", "region", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "home", (F.col("sid") == F.col("region")).alias("pivot"))
+        .groupBy("sid").agg(F.collect_list(F.struct("region", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "core", "earlier")).alias("places"))
     )
-    known = members.select(F.col("h1").alias("sid"), "h2", "members")
-    wanted = settled(tiles.select("sid").distinct().join(known, "sid").select("sid", "h2", "members", F.col("members")[0].alias("doc_id")))
-    one = joined(d, wanted, "doc_id", "inner").select("sid", "h2", "members", "text")
+    wanted = settled(tiles.join(members.withColumnRenamed("h1", "sid"), "sid").select("sid", "h2", "members", F.col("members")[0].alias("doc_id"), "places"))
+    weight = wanted.agg(F.sum(64 + 8 * F.size("members") + 48 * F.size("places"))).first()[0] or 0
+    one = d.join(F.broadcast(wanted) if weight <= BROADCAST_BYTES else wanted, "doc_id").select("sid", "h2", "members", "places", "text")
 
     def load():
         hashes = WordHashes()
 
         def batch(b):
-            sets = [gram_set(hashes, t, n).tobytes() for t in b.column(3).to_pylist()]
-            real = [int.from_bytes(xxhash.xxh3_128_digest(x)[8:], "little", signed=True) == h for x, h in zip(sets, b.column(1).to_pylist())]
-            keep = pa.array(real)  # where one doc_id has several texts, the one this set came from
-            yield {"sid": b.column(0).filter(keep), "h2": b.column(1).filter(keep), "members": b.column(2).filter(keep), "grams": pa.array(sets, pa.binary()).filter(keep)}
+            sets = [gram_set(hashes, t, n) for t in b.column(4).to_pylist()]
+            keep = pa.array([_names(x) == (h1, h2) for x, h1, h2 in zip(sets, b.column(0).to_pylist(), b.column(1).to_pylist())], pa.bool_())  # where one doc_id has several texts, the one this set came from
+            data = pa.array([x.tobytes() for x in sets], pa.binary())
+            yield {c: x.filter(keep) for c, x in zip(("sid", "h2", "members", "places", "grams"), (*(b.column(k) for k in range(4)), data))}
 
         return batch
 
-    sets = map_columns(one, load, "sid bigint, h2 bigint, members array<bigint>, grams binary").dropDuplicates(["sid", "h2"])
+    place = "struct<region:bigint,i:int,j:int,block:int,core:boolean,earlier:array<bigint>>"
+    sets = map_columns(one, load, f"sid bigint, h2 bigint, members array<bigint>, places array<{place}>, grams binary")
     part = ["region", "i", "j"]
-    rows = sets.join(tiles, "sid").select(*part, "block", "home", "pivot", "members", "grams")
+    rows = sets.select("sid", "h2", "members", "grams", F.explode("places").alias("p")).select("p.region", "p.i", "p.j", "p.block", "p.core", "p.earlier", "sid", "h2", "members", "grams")
     pairs = map_columns(rows.repartition(*part).sortWithinPartitions(*part), lambda: _Join(threshold, forest), PAIRS)
     return pairs, members.where(F.size("members") > 1).select("members")
 
