@@ -30,6 +30,25 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(*(F.col(f"`{c}`").cast(kinds[c]).alias(c) for c in ("doc_id", "text", *more)))
 
 
+def unused(docs: DataFrame, *names: str) -> list[str]:
+    """A column name for each of names that docs does not have, in any case."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for n in names:
+        n = f"__{n}"
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
+def without(docs: DataFrame, ids: DataFrame, how: str = "left_anti") -> DataFrame:
+    """The rows of docs, with all their columns, whose doc_id is not (how = left_anti) or is (left_semi) among ids, one settled column; few ids are broadcast."""
+    (name,) = unused(docs, "id")
+    ids = ids.toDF(name)
+    return docs.join(F.broadcast(ids) if ids.count() <= 1_000_000 else ids, docs["doc_id"].cast("long") == ids[name], how)
+
+
 def map_columns(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[dict] | None]], schema: str) -> DataFrame:
     """mapInArrow over dictionaries of columns.  make() runs once per task and returns the function for one batch."""
     spark = df.sparkSession

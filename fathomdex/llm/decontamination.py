@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordIds, map_columns, settled, texts, words
+from .common import WordIds, map_columns, settled, texts, without, words
 
 UNIT = 48
 BLOCK_UNITS = 16
@@ -203,5 +203,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of docs, with all their columns, of documents that hold no item; rows with a null doc_id or text stay."""
-    gone = settled(contaminated(docs, benchmark, **options).select(F.col("doc_id").alias("__gone")).distinct())
-    return docs.join(F.broadcast(gone) if gone.count() <= 1_000_000 else gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    gone = settled(contaminated(docs, benchmark, **options).select("doc_id").distinct())
+    return without(docs, gone)

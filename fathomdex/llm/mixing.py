@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settled, texts
+from .common import settled, texts, without
 
 BLOCK_TOKENS = 8192
 #: Tokens per shard that the number of shards aims at.
@@ -71,8 +71,8 @@ P1, A1, A2 = 2_147_483_647, 1_103_515_245, 40_503
 
 def select(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs, with all their columns, that plan() selects."""
-    chosen = settled(plan(docs, **options).select(F.col("doc_id").alias("__chosen")))
-    return docs.join(F.broadcast(chosen) if chosen.count() <= 1_000_000 else chosen, F.col("doc_id").cast("long") == F.col("__chosen"), "left_semi")
+    chosen = settled(plan(docs, **options).select("doc_id"))
+    return without(docs, chosen, "left_semi")
 
 
 def _sql_seeded(seed: int) -> str:

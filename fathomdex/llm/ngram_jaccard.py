@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, gram_hashes, map_columns, mix, settled, texts
+from .common import WordHashes, gram_hashes, map_columns, mix, settled, texts, without
 
 N = 5
 THRESHOLD = 0.5
@@ -526,5 +526,5 @@ def near_groups(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> Da
 
 def keep_one(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
     """docs without the documents of near_groups that are not their group's least doc_id; null doc_ids and texts stay."""
-    gone = settled(near_groups(docs, n, threshold).where("doc_id != group_id").select(F.col("doc_id").alias("__gone")))
-    return docs.join(F.broadcast(gone) if gone.count() <= 1_000_000 else gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    gone = settled(near_groups(docs, n, threshold).where("doc_id != group_id").select("doc_id"))
+    return without(docs, gone)

@@ -20,13 +20,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_lm_scores": _documents(lm_scoring.lm_scores),
         "op3_line_dedup": _documents(line_dedup.line_dedup),
         "op4_ngram_jaccard_join": _documents(ngram_jaccard.jaccard_pairs),
-        "op5_quality_rules": _documents(quality_rules.ledger),
+        "op5_quality_rules": lambda spark, sf_dir: quality_rules.ledger(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
         "op6_decontamination": lambda spark, sf_dir: decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
         "op7_token_binary": _documents(token_binary.token_binary),
         "op8_license_scan": _documents(license_scan.license_scan),
         "op9_mixing": _documents(mixing.plan),
         "op10_secret_scan": _documents(secret_scan.secret_scan),
-        "quality_ablation": _documents(lambda d: quality_rules.ablation(quality_rules.ledger(d))),
+        "quality_ablation": lambda spark, sf_dir: quality_rules.ablation(quality_rules.ledger(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))),
     }
 
 
