@@ -1,0 +1,119 @@
+import random
+
+import pytest
+
+from fathomdex.llm import license_scan, secret_scan
+from fathomdex.llm.common import words
+from fathomdex.llm.license_templates import TEMPLATES
+
+
+def _altered(r, w, rate):
+    out = []
+    for x in w:
+        y = r.random()
+        if y < rate / 3:
+            continue
+        out.append("zzz" if y < 2 * rate / 3 else x)
+        if 2 * rate / 3 <= y < rate:
+            out.append("yyy")
+    return out
+
+
+@pytest.mark.parametrize("rate,least", [(0.0, 1.0), (0.08, 0.95)])
+def test_planted_licences_are_found_where_they_are(frame, rate, least):
+    r = random.Random(1)
+    noise = lambda n: " ".join("".join(r.choice("abcdefghiklmnop") for _ in range(6)) for _ in range(n))
+    docs, want = [], {}
+    for k in range(120):
+        name, spdx, text = TEMPLATES[k % len(TEMPLATES)]
+        if rate and len(words(text)) < 20:
+            continue
+        before = noise(r.randint(0, 300)) + ". "
+        body = " ".join(_altered(r, text.split(), rate))
+        docs.append((k, before + body + " " + noise(50)))
+        want[k] = (spdx, len(before), len(before) + len(body))
+    got = {}
+    for x in license_scan.license_scan(frame(docs)).collect():
+        got.setdefault(x.doc_id, []).append(x)
+    ok = 0
+    for k, (spdx, start, stop) in want.items():
+        ok += any(x.license == spdx and abs(x.start - start) <= 40 and abs(x.stop - stop) <= 40 for x in got.get(k, ()))
+    assert ok >= least * len(want)
+
+
+def test_alignment_against_every_cell():
+    """The band holds the best alignment whenever few words were put in or left out."""
+    r = random.Random(3)
+    for _ in range(60):
+        t = [r.randrange(8) for _ in range(r.randint(5, 12))]
+        ids = [r.randrange(8) for _ in range(r.randint(3, 25))]
+        wide = license_scan.align(t, ids, -len(t), len(ids))
+        full = _local(t, ids)
+        assert (wide[0] if wide else 0) <= len(t) and _score(t, ids, wide) == full
+
+
+def _local(t, ids):
+    best, before = 0, [0] * (len(ids) + 1)
+    for x in t:
+        now = [0]
+        for j, y in enumerate(ids):
+            now.append(max(0, before[j] + (2 if x == y else -1), before[j + 1] - 1, now[j] - 1))
+        before = now
+        best = max(best, *now)
+    return best
+
+
+def _score(t, ids, found):
+    """The best local score within the reported span."""
+    return 0 if found is None else _local(t, ids[found[1] : found[2]])
+
+
+def test_no_licence_in_prose_and_odd_rows(frame, odd_rows):
+    assert license_scan.license_scan(frame(odd_rows, clash=True)).count() == 0
+    assert license_scan.license_scan(frame([])).count() == 0
+    two = license_scan.license_scan(frame([(None, "İ Released under the MIT License. And: Licensed under CC BY 4.0."), (1, "x\nReleased under the MIT License.")])).collect()
+    assert sorted((x.doc_id is None, x.license) for x in two) == [(False, "MIT"), (True, "CC-BY-4.0"), (True, "MIT")]
+    text = "İ Released under the MIT License. And: Licensed under CC BY 4.0."
+    assert {text[x.start : x.stop] for x in two if x.doc_id is None} == {"Released under the MIT License", "Licensed under CC BY 4.0"}
+
+
+def test_held_out_secrets():
+    """Examples of another seed than those the automata were inferred from."""
+    f = secret_scan.default_formats()
+    right = dict.fromkeys(f.automata, 0)
+    wrong = n_plain = 0
+    n = 200
+    for label, value in secret_scan.labelled(99, n):
+        hit = f.best(value)
+        if label == secret_scan.PLAIN:
+            n_plain += 1
+            wrong += hit is not None
+        else:
+            right[label] += hit is not None and hit[0] == label
+    assert all(x >= 0.95 * n for x in right.values()), right
+    assert wrong <= 0.02 * n_plain
+
+
+def test_merging_generalises():
+    a = secret_scan.Automaton(["ab" * k for k in range(1, 40)] * 3).infer()
+    states = len(a.steps)
+    assert states < 20
+    assert a.log_p("abababab") > a.log_p("aabbaabb")
+
+
+def test_secrets_in_place_and_odd_rows(frame, odd_rows, spark):
+    assert secret_scan.secret_scan(frame([])).count() == 0
+    clean = secret_scan.secret_scan(frame([x for x in odd_rows if x[0] != 4], clash=True))
+    assert clean.count() == 0
+    r = random.Random(8)
+    docs, want = [], []
+    for k, (label, value) in enumerate(secret_scan.labelled(5, 12)):
+        before = r.choice(("key=", "token: ", "see ", '"'))
+        docs.append((k, f"some prose. {before}{value}{r.choice((' and', '.', chr(34)))} more"))
+        if label != secret_scan.PLAIN:
+            want.append((k, label, 12 + len(before)))
+    got = {(x.doc_id, x.format, x.start) for x in secret_scan.secret_scan(frame(docs)).collect()}
+    assert len(got & set(want)) >= 0.9 * len(want)
+    given = spark.createDataFrame([("own", f"ZZ-{k:05d}-{k * 7919 % 99991:05d}-QQ") for k in range(300)] + [("plain", f"ordinary-words-{k}") for k in range(300)] + [(None, "x"), ("own", None)], "label string, value string")
+    hit = secret_scan.secret_scan(frame([(1, "a ZZ-00412-55555-QQ b ordinary-words-77 c")]), given).collect()
+    assert [(x.format, x.start) for x in hit] == [("own", 2)]
