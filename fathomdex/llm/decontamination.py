@@ -25,7 +25,9 @@ from pyspark.sql import functions as F
 from .common import WordIds, map_columns, settled, texts, without, words
 
 UNIT = 48
-BLOCK_UNITS = 16
+BLOCK_UNITS = 4
+#: Blocks of one index part at most; with more units, blocks are larger.
+MOST_BLOCKS = 256
 THRESHOLD = 0.6
 QUESTION = ANSWER = 0.7
 #: Words of one index part; about 100 bytes each in memory.
@@ -69,7 +71,7 @@ class Index:
         df = Counter(x for c in tf for x in c)
         n, avg = len(units), sum(len(w) for _, w in units) / max(1, len(units))
         idf = {x: math.log(1 + (n - d + 0.5) / (d + 0.5)) for x, d in df.items()}
-        per = max(BLOCK_UNITS, -(-n // 64))
+        per = max(BLOCK_UNITS, -(-n // MOST_BLOCKS))
         self.blocks = -(-n // per) if n else 0
         self.bound = np.zeros((len(self.numbers) + 1, max(1, self.blocks)), np.float32)  # the last row, all zeros, is for other words
         self.by_block: dict[tuple[int, int], list[tuple[int, float]]] = defaultdict(list)
@@ -83,18 +85,18 @@ class Index:
                 self.bound[t, u // per] = max(self.bound[t, u // per], v / own)
         self.bound *= np.float32(1 + 1e-5)
 
-    def passages(self, ids: np.ndarray) -> dict[int, np.ndarray]:
+    def passages(self, ids: np.ndarray, threshold: float) -> dict[int, np.ndarray]:
         """Start of each passage whose bound reaches the threshold in some block, with those blocks."""
-        n = -(-len(ids) // UNIT)
         at = np.flatnonzero(ids >= 0)
-        key = np.unique(at // UNIT * (len(self.numbers) + 1) + ids[at])  # each term once per half passage
-        half, term = key // (len(self.numbers) + 1), key % (len(self.numbers) + 1)
-        sums = np.zeros((n + 1, self.bound.shape[1]), np.float32)
-        if len(half):
-            first = np.flatnonzero(np.r_[True, half[1:] != half[:-1]])
-            sums[half[first]] = np.add.reduceat(self.bound[term], first, axis=0)
-        both = sums[:-1] + sums[1:] >= THRESHOLD
-        return {int(k) * UNIT: np.flatnonzero(both[k]) for k in np.flatnonzero(both.any(1))}
+        width = len(self.numbers) + 1
+        key = at // UNIT * width + ids[at]
+        key = np.unique(np.concatenate([key, key[at >= UNIT] - width]))  # each word is in the passage that starts with its unit and in the one before
+        passage, term = key // width, key % width
+        if not len(passage):
+            return {}
+        first = np.flatnonzero(np.r_[True, passage[1:] != passage[:-1]])
+        reached = np.add.reduceat(self.bound[term], first, axis=0) >= threshold
+        return {int(passage[first[k]]) * UNIT: np.flatnonzero(reached[k]) for k in np.flatnonzero(reached.any(1))}
 
     def wand(self, terms: list[int], block: int, threshold: float) -> list[tuple[int, float]]:
         """All units of the block that score at least threshold for these distinct terms."""
@@ -130,7 +132,7 @@ class Index:
     def search(self, ids: np.ndarray, text: str, threshold: float, question: float, answer: float):
         """The best verified hit of each item: (item, word position, score, question overlap, answer overlap)."""
         best, w = {}, None
-        for start, blocks in self.passages(ids).items():
+        for start, blocks in self.passages(ids, threshold).items():
             terms = np.unique(ids[start : start + 2 * UNIT])
             terms = terms[terms >= 0].tolist()
             for block in blocks:
