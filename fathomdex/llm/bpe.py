@@ -19,6 +19,13 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
+def encoder(path: str):
+    """The library's encoder of the vocabulary; special-token strings are ordinary text to it."""
+    import tiktoken
+
+    return tiktoken.Encoding("documents", pat_str=PATTERN, mergeable_ranks=load_ranks(path), special_tokens={})
+
+
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Plain BPE: merge the adjacent pair of lowest rank, the leftmost of equals, until none is in the vocabulary."""
     parts = [piece[i : i + 1] for i in range(len(piece))]
@@ -62,10 +69,7 @@ class Chunks(dict):
     SIZE = 200_000
 
     def __init__(self, path: str, whole: dict[str, int]):
-        import tiktoken
-
-        self.whole, self.pattern = whole, regex.compile(PATTERN)
-        self.bpe = tiktoken.Encoding("rest", pat_str=PATTERN, mergeable_ranks=load_ranks(path), special_tokens={})
+        self.whole, self.pattern, self.bpe = whole, regex.compile(PATTERN), encoder(path)
 
     def make(self, pre_tokens: list[str]):
         raise NotImplementedError

@@ -53,34 +53,21 @@ def read_tokens(packed: bytes, block_offsets: list[int], n_tokens: int, bits: in
     return np.concatenate(out)[start - a * block : stop - a * block]
 
 
-class Ids(bpe.Chunks):
-    def make(self, pre_tokens: list[str]) -> bytes:
-        ids: list[int] = []
-        for p in pre_tokens:
-            one = self.whole.get(p)
-            ids += self.bpe.encode_ordinary(p) if one is None else (one,)
-        return np.array(ids, "<u4").tobytes()
-
-    def join(self, parts) -> np.ndarray:
-        return np.frombuffer(b"".join(parts), "<u4")
-
-
 def token_binary(docs: DataFrame, vocabulary: str = f"{bpe.DEFAULT_DIR}/byte_bpe_50k.tiktoken", block: int = BLOCK) -> DataFrame:
     """One row per input row: doc_id, n_tokens, bits, block_size, block_offsets, packed.
 
     A null text has null n_tokens, offsets and data; an empty one 0 tokens, no offsets and empty data; a null doc_id stays null;
     repeated rows are encoded one by one; extra columns are not read.
     """
-    whole = docs.sparkSession.sparkContext.broadcast(bpe.whole_tokens(vocabulary))
     bits = width(max(bpe.load_ranks(vocabulary).values()) + 1)
 
     def make():
-        encode = Ids(vocabulary, whole.value)
+        encode = bpe.encoder(vocabulary).encode_ordinary
 
         def batch(b):
             ids, texts_ = b.column(0).to_pylist(), b.column(1)
             for at in range(0, len(ids), 500):
-                found = [None if t is None else encode.of(t) for t in texts_.slice(at, 500).to_pylist()]
+                found = [None if t is None else np.array(encode(t), np.uint32) for t in texts_.slice(at, 500).to_pylist()]
                 blocks = [(None, None) if x is None else pack_blocks(x, bits, block) for x in found]
                 yield {"doc_id": ids[at : at + 500], "n_tokens": [None if x is None else len(x) for x in found], "bits": [bits] * len(found), "block_size": [block] * len(found), "block_offsets": [x for x, _ in blocks], "packed": [x for _, x in blocks]}
 
