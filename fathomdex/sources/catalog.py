@@ -343,7 +343,12 @@ class Catalog:
             docs = docs.withColumn("_id", F.expr("uuid()"))
         if pipeline:
             docs = scripts.run_pipeline(docs, self.pipeline(pipeline))
-        good, bad = self.meta(name).mapping.split(docs)
+        mapping = self.meta(name).mapping
+        known = docs.drop(order) if order and order not in mapping.properties else docs
+        marked = docs.withColumn("_error", mapping.problem(known))
+        good, bad = marked.where("_error is null").drop("_error"), marked.where("_error is not null")
+        if mapping.dynamic == "strict":  # in rows that passed, such fields are null
+            good = good.drop(*[c for c in mapping.unknown_fields(known.columns)])
         self.write(name, mutate.upsert(self.frame(name), good, order))
         return bad
 
