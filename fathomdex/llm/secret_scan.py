@@ -58,6 +58,7 @@ def labelled(seed: int, n: int) -> list[tuple[str, str]]:
         "stripe_key": lambda: r.choice(("sk_live_", "rk_live_", "sk_test_")) + pick(low + up + dig, 24),
         "jwt": lambda: "eyJ" + pick(url, r.randint(30, 40)) + ".eyJ" + pick(url, r.randint(40, 120)) + "." + pick(url, 43),
         "hex_token": lambda: pick(dig + "abcdef", r.choice((32, 40, 40, 64))),
+        "hex_token_upper": lambda: pick(dig + "ABCDEF", r.choice((32, 40, 40, 64))),
         PLAIN: plain,
     }
     return [(label, f()) for label, f in make.items() for _ in range(n)]
