@@ -94,7 +94,27 @@ class Lattice:
         return a
 
     def log_prob(self, s: str) -> float:
-        return self.forward(self.edges(s))[-1]
+        """forward's last value, without the list of edges."""
+        n, root, exp, log1p = len(s), self.root, math.exp, math.log1p
+        a: list = [None] * (n + 1)
+        a[0] = 0.0
+        for i in range(n):
+            x, node, j, alone = a[i], root, i, True
+            while j < n:
+                node = node.get(s[j])
+                if node is None:
+                    break
+                j += 1
+                w = node.get("")
+                if w is not None:
+                    y, z = a[j], x + w
+                    a[j] = z if y is None else z + log1p(exp(y - z)) if z > y else y + log1p(exp(z - y))
+                    if j == i + 1:
+                        alone = False
+            if alone:
+                y, z = a[i + 1], x + sum(self.bytes_[b] for b in s[i].encode("utf-8", "replace"))
+                a[i + 1] = z if y is None else z + log1p(exp(y - z)) if z > y else y + log1p(exp(z - y))
+        return a[n]
 
     def expect(self, s: str, count: int, into: Counter) -> None:
         """Adds count times the expected number of each piece in s."""
