@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans import dsl
-from ..plans.compile import Fields, compile
+from ..plans.compile import Fields, compile, holds
 from . import scripts
 
 VERSIONS = {"_seq_no": "bigint", "_primary_term": "bigint", "_version": "bigint"}
@@ -84,13 +84,13 @@ def delete(base: DataFrame, ids: DataFrame) -> DataFrame:
 
 def delete_by_query(base: DataFrame, query: dict | None, mapping: dict | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows that stay, one row of total, deleted)."""
-    hit = compile(dsl.parse(query), Fields(base, mapping))
+    hit = holds(dsl.parse(query), Fields(base, mapping))
     return base.where(~hit), base.agg(F.count_if(hit).alias("total"), F.count_if(hit).alias("deleted"))
 
 
 def update_by_query(base: DataFrame, query: dict | None, script: dict | str, mapping: dict | None = None) -> tuple[DataFrame, DataFrame]:
     """(all rows, matching ones changed by the script and a version on; one row of total, updated)."""
-    hit = compile(dsl.parse(query), Fields(base, mapping))
+    hit = holds(dsl.parse(query), Fields(base, mapping))
     marked = base.withColumn("__u", hit)
     out = scripts.apply(marked, script, F.col("__u"))
     bump = {c: F.col(c) + F.col("__u").cast("bigint") for c in ("_seq_no", "_version") if c in base.columns}

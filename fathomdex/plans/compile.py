@@ -1,7 +1,8 @@
 """Syntax tree to one boolean Column.
 
-Every leaf is true or false, never null: a missing field does not match, so must_not keeps documents without the field.  Typed
-comparisons on bare columns reach the Parquet reader as pushed filters.
+A missing field does not match, so must_not keeps documents without the field.  In a filter null is as good as false, so compile() leaves leaves as
+they are and typed comparisons on bare columns reach the Parquet reader as pushed filters; only what is negated or counted is made true or
+false first.  holds() is never null, for use as a value.
 """
 
 from __future__ import annotations
@@ -58,12 +59,16 @@ def compile(node: A.Node, fields: Fields) -> Column:  # noqa: A001
     return _COMPILERS[type(node)](node, fields)
 
 
+def holds(node: A.Node, fields: Fields) -> Column:
+    return F.coalesce(compile(node, fields), F.lit(False))
+
+
 def _on(fields: Fields, name: str, test) -> Column:
-    """test(value) for the field, or for any element of an array; false where the field is unknown or null."""
+    """test(value) for the field, or for any element of an array; false where the field is unknown, null or false where it is null."""
     if fields.type(name) is None:
         return F.lit(False)
     c = fields.column(name)
-    return F.coalesce(F.exists(c, test) if fields.is_array(name) else test(c), F.lit(False))
+    return F.exists(c, test) if fields.is_array(name) else test(c)
 
 
 def _string(fields: Fields, name: str):
@@ -191,7 +196,7 @@ def _fuzzy(n: A.Fuzzy, fields: Fields) -> Column:
 
 
 def _terms_set(n: A.TermsSet, fields: Fields) -> Column:
-    hits = [_term(A.Term(n.field, v), fields).cast("int") for v in dict.fromkeys(n.values)]
+    hits = [F.coalesce(_term(A.Term(n.field, v), fields), F.lit(False)).cast("int") for v in dict.fromkeys(n.values)]
     return functools.reduce(operator.add, hits, F.lit(0)) >= n.minimum
 
 
@@ -207,7 +212,7 @@ def geo_columns(name: str, fields: Fields) -> tuple[Column, Column]:
 def _geo_distance(n: A.GeoDistance, fields: Fields) -> Column:
     if fields.type(n.field) is None:
         return F.lit(False)
-    return F.coalesce(geo.haversine(*geo_columns(n.field, fields), n.lat, n.lon) <= n.metres, F.lit(False))
+    return geo.haversine(*geo_columns(n.field, fields), n.lat, n.lon) <= n.metres
 
 
 def _geo_box(n: A.GeoBox, fields: Fields) -> Column:
@@ -215,11 +220,12 @@ def _geo_box(n: A.GeoBox, fields: Fields) -> Column:
         return F.lit(False)
     lat, lon = geo_columns(n.field, fields)
     east = (lon >= n.left) & (lon <= n.right) if n.left <= n.right else (lon >= n.left) | (lon <= n.right)
-    return F.coalesce((lat <= n.top) & (lat >= n.bottom) & east, F.lit(False))
+    return (lat <= n.top) & (lat >= n.bottom) & east
 
 
 def _any(columns) -> Column:
-    return functools.reduce(operator.or_, columns, F.lit(False))
+    columns = list(columns)
+    return functools.reduce(operator.or_, columns) if columns else F.lit(False)
 
 
 def _cost(node: A.Node, fields: Fields) -> int:
@@ -231,13 +237,12 @@ def _bool(n: A.Bool, fields: Fields) -> Column:
     every = sorted([(_cost(x, fields), k, x, False) for k, x in enumerate(n.must + n.filter)] + [(_cost(x, fields), k, x, True) for k, x in enumerate(n.must_not)], key=lambda e: (e[0], e[3], e[1]))
     out = None
     for _, _, x, negated in every:
-        c = ~compile(x, fields) if negated else compile(x, fields)
+        c = ~holds(x, fields) if negated else compile(x, fields)
         out = c if out is None else out & c
     # optional beside must or filter, unless a minimum is given
     least = n.minimum if n.minimum is not None else 0 if n.must or n.filter else 1
     if n.should and least > 0:
-        hits = [compile(x, fields) for x in n.should]
-        some = _any(hits) if least == 1 else functools.reduce(operator.add, (h.cast("int") for h in hits)) >= least
+        some = _any(compile(x, fields) for x in n.should) if least == 1 else functools.reduce(operator.add, (holds(x, fields).cast("int") for x in n.should)) >= least
         out = some if out is None else out & some
     return F.lit(True) if out is None else out
 

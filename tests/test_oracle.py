@@ -40,6 +40,7 @@ def test_query_equals_its_sql(spark, sf_dir, duck, name):
 
 
 def test_typed_predicates_reach_the_scan(spark, sf_dir):
+    spark.conf.set("spark.sql.maxMetadataStringLength", 2000)
     plan = queries.QUERIES["q_range_number"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(l_extendedprice,1000.0)" in plan and "LessThan(l_extendedprice,20000.5)" in plan
     plan = queries.QUERIES["q_term_keyword"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
