@@ -4,14 +4,14 @@ Jaccard distance d = 1 - similarity is a metric.  In n-gram space, though, docum
 each other, so pivots drawn at random would have every document on every boundary.  The pivots are therefore chosen among
 documents that can have a partner at all:
 
-1.  Each n-gram set emits its prefix: its grams that come first in one global order, rarest first by a fixed-size table of counts over the whole
-    corpus, as many as a pair of the threshold's similarity must share one of.  They travel packed, bucket by bucket of the gram hash, and
-    numpy finds in each bucket which are shared.
-2.  Pivots and Voronoi regions: the least set that holds a gram is the gram's pivot.  A set can only be within t (= 1 - threshold) of sets with which
-    it shares a prefix gram, so it belongs to the regions of its grams' pivots; in most cases one.  It is replicated to further regions
-    only where it lies on a boundary, that is, where some set of that region has no earlier region in common with it.
-3.  In a region the distances to the pivot are computed; by the triangle inequality only replicas at most t beyond its farthest core member stay,
-    and |d(x, p) - d(y, p)| <= t prunes pairs.
+1.  The grams of every set travel packed, bucket by bucket of the gram hash, and numpy finds in each bucket which are shared.  A set with
+    a partner shares at least the threshold's part of its grams with others; the rest leave.
+2.  Pivots and Voronoi regions: the least set that holds a gram is the gram's pivot; a set belongs to the regions of the pivots it shares grams with.
+    Pivots that stand for less than half the threshold's part of its grams altogether are left out, the most widespread grams (boilerplate) first: two
+    sets of the threshold's similarity share more grams than both leave out, so one pivot remains that both have.
+3.  Boundaries: a set is replicated to further regions only where some set of that region has no earlier region in common with it.  In a region
+    the distances to the pivot are computed; by the triangle inequality only replicas at most t (= 1 - threshold) beyond its farthest core
+    member stay, and |d(x, p) - d(y, p)| <= t prunes pairs.
 4.  Regions join recursively: a large region is divided again around pivots of its own, with windows d(x, q) <= d(x, p(x)) + 2 t,
     until it is small or no longer shrinks; exact intersections decide.  Regions too large for one task are joined as tiles.
 
@@ -33,9 +33,7 @@ from .common import WordHashes, gram_hashes, map_columns, mix, settled, texts, w
 
 N = 5
 THRESHOLD = 0.5
-#: Slots of the table of gram counts; its size does not depend on the data.
-SLOTS = 1 << 20
-#: Prefix grams of one bucket that a task sorts at a time.
+#: Grams of one bucket that a task sorts at a time.
 BUCKET = 3_000_000
 #: Sets of a region that one task holds of each side; larger regions are joined tile by tile.
 TILE = 1500
@@ -50,77 +48,34 @@ def gram_set(hashes: WordHashes, text: str | None, n: int) -> np.ndarray:
     return np.unique(gram_hashes(hashes.of(text), n))
 
 
-def _slot(grams: np.ndarray) -> np.ndarray:
-    return (mix(grams) & np.uint64(SLOTS - 1)).astype(np.int64)
-
-
-def prefix_length(size: int, threshold: float) -> int:
-    return size - math.ceil(threshold * size - 1e-9) + 1
-
-
 def _names(grams: np.ndarray) -> tuple[int, int]:
     """128 bits that name a set, as two signed integers."""
     x = xxhash.xxh3_128_digest(grams.tobytes())
     return int.from_bytes(x[:8], "little", signed=True), int.from_bytes(x[8:], "little", signed=True)
 
 
-class _Survey:
-    """First reading: the name and size of each document's set, and at the end the task's counts by slot."""
-
-    def __init__(self, n):
-        self.n, self.hashes, self.total, self.seen = n, WordHashes(), np.zeros(SLOTS, np.int64), [],
-
-    def __call__(self, batch):
-        ids, texts_ = batch.column(0).to_pylist(), batch.column(1)
-        for at in range(0, len(ids), 2000):
-            out: dict = {"doc_id": [], "h1": [], "h2": [], "n": [], "counts": []}
-            for i, t in zip(ids[at : at + 2000], texts_.slice(at, 2000).to_pylist()):
-                g = gram_set(self.hashes, t, self.n)
-                if len(g):
-                    for c, v in zip(out, (i, *_names(g), len(g), None)):
-                        out[c].append(v)
-                    self.seen.append(g)
-            self.count()
-            yield out
-
-    def count(self):
-        if self.seen:
-            self.total += np.bincount(_slot(np.concatenate(self.seen)), minlength=SLOTS)
-            self.seen = []
-
-    def close(self):
-        if self.total.any():
-            yield {"doc_id": [None], "h1": [None], "h2": [None], "n": [int(self.total.sum())], "counts": [np.minimum(self.total, 65535).astype("<u2").tobytes()]}
-
-
-class _Add:
-    def __init__(self):
-        self.total = np.zeros(SLOTS, np.int64)
-
-    def __call__(self, batch):
-        for x in batch.column(0).to_pylist():
-            self.total += np.frombuffer(x, "<u2")
-
-    def close(self):
-        if self.total.any():
-            yield {"counts": [np.minimum(self.total, 2**31 - 1).astype("<i4").tobytes()]}
+def _named(n: int):
+    """First reading: the name and size of each document's set."""
+    hashes = WordHashes()
 
+    def batch(b):
+        out: dict = {"doc_id": [], "h1": [], "h2": [], "n": []}
+        for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            g = gram_set(hashes, t, n)
+            if len(g):
+                for c, v in zip(out, (i, *_names(g), len(g))):
+                    out[c].append(v)
+        yield out
 
-def gram_counts(tables: DataFrame) -> np.ndarray:
-    """How often the grams of each slot occur, over all documents: SLOTS numbers, added up in two steps on the executors."""
-    total = np.zeros(SLOTS, np.int64)
-    for r in map_columns(tables.select("counts", (F.col("n") % 8).alias("part")).repartition(8, "part").select("counts"), _Add, "counts binary").toLocalIterator():  # at most 8 tables of fixed size
-        total += np.frombuffer(r.counts, "<i4")
-    return np.minimum(total, 2**31 - 1)
+    return batch
 
 
-class _Prefixes:
-    """Second reading: prefix grams, packed by bucket: for each set its name and number of grams, then 40 bits of each gram."""
+class _Packed:
+    """Second reading: grams, packed by bucket: for each set its name, size and number of grams there, then 32 more bits of each gram."""
 
-    def __init__(self, n, threshold, order, buckets):
-        self.n, self.threshold, self.order, self.buckets = n, threshold, order.value, buckets
-        self.hashes, self.sids, self.grams, self.held = WordHashes(), [], [], 0
-        self.known: set[int] = set()
+    def __init__(self, n, buckets):
+        self.n, self.buckets, self.hashes = n, buckets, WordHashes()
+        self.sids, self.grams, self.held, self.known = [], [], 0, set()
 
     def __call__(self, batch):
         for t in batch.column(1).to_pylist():
@@ -131,13 +86,9 @@ class _Prefixes:
             if sid in self.known:
                 continue
             self.known.add(sid)
-            k = prefix_length(len(g), self.threshold)
-            if k < len(g):
-                rank = self.order[_slot(g)].astype(np.uint64) << np.uint64(32) | mix(g) >> np.uint64(32)
-                g = g[np.argpartition(rank, k - 1)[:k]]
             self.sids.append(sid)
             self.grams.append(g)
-            self.held += k
+            self.held += len(g)
             if self.held > 2_000_000:
                 yield self.flush()
 
@@ -149,26 +100,24 @@ class _Prefixes:
         size = np.array([len(g) for g in self.grams])
         g = mix(np.concatenate(self.grams))
         row = np.repeat(np.arange(len(size)), size)
-        b = (g >> np.uint64(40)) % np.uint64(self.buckets)
-        by = np.lexsort((row, b))
-        g, row, b = g[by], row[by], b[by].astype(np.int64)
+        b = ((g >> np.uint64(40)) % np.uint64(self.buckets)).astype(np.int64)
+        by = np.argsort(b, kind="stable")
+        g, row, b = g[by], row[by], b[by]
         ends = np.searchsorted(b, np.arange(self.buckets + 1))
         sids = np.array(self.sids, np.int64)
-        out: dict = {"bucket": [], "sids": [], "counts": [], "low": [], "high": []}
+        out: dict = {"bucket": [], "sids": [], "sizes": [], "counts": [], "grams": []}
         for k in range(self.buckets):
             lo, hi = ends[k], ends[k + 1]
             if lo < hi:
                 own, n = np.unique(row[lo:hi], return_counts=True)
-                x = g[lo:hi]
-                for c, v in zip(out, (k, sids[own].tobytes(), n.astype("<u4").tobytes() if n.max() > 65535 else n.astype("<u2").tobytes(), x.astype("<u4").tobytes(), (x >> np.uint64(32)).astype(np.uint8).tobytes())):
+                for c, v in zip(out, (k, sids[own].tobytes(), size[own].astype("<u4").tobytes(), n.astype("<u4" if n.max() > 65535 else "<u2").tobytes(), g[lo:hi].astype("<u4").tobytes())):
                     out[c].append(v)
-        self.sids, self.grams, self.held = [], [], 0
-        self.known = set()
+        self.sids, self.grams, self.held, self.known = [], [], 0, set()
         return out
 
 
 class _Shared:
-    """Reads the rows of one bucket after another: (sid, pivot, number of grams) for each gram that several sets share."""
+    """Reads the rows of one bucket after another: (sid, size, pivot, number of grams, most sets that hold one) of the grams that several sets share."""
 
     def __init__(self):
         self.bucket, self.rows = None, []
@@ -187,27 +136,26 @@ class _Shared:
         rows, self.rows = self.rows, []
         if not rows:
             return
-        sid, gram = [], []
-        for s, c, low, high in rows:
-            s = np.frombuffer(s, np.int64)
-            sid.append(np.repeat(s, np.frombuffer(c, "<u2" if len(c) == 2 * len(s) else "<u4")))
-            gram.append(np.frombuffer(high, np.uint8).astype(np.int64) << 32 | np.frombuffer(low, "<u4"))
-        sid, gram = np.concatenate(sid), np.concatenate(gram)
-        by = np.lexsort((sid, gram))
-        sid, gram = sid[by], gram[by]
-        new = np.r_[True, gram[1:] != gram[:-1]]
-        first = np.flatnonzero(new)
-        group = np.cumsum(new) - 1
-        pivot = sid[first][group]  # the least set of the gram
-        last = sid[np.r_[first[1:], len(sid)] - 1][group]
-        keep = pivot != last
-        keep[1:] &= new[1:] | (sid[1:] != sid[:-1])
-        sid, pivot = sid[keep], pivot[keep]
-        if len(sid):
-            by = np.lexsort((pivot, sid))
-            sid, pivot = sid[by], pivot[by]
-            at = np.flatnonzero(np.r_[True, (sid[1:] != sid[:-1]) | (pivot[1:] != pivot[:-1])])
-            yield {"sid": sid[at], "pivot": pivot[at]}
+        sets = np.concatenate([np.frombuffer(s, np.int64) for s, *_ in rows])
+        sizes = np.concatenate([np.frombuffer(z, "<u4") for _, z, *_ in rows])
+        counts = np.concatenate([np.frombuffer(c, "<u2" if len(c) * 4 == len(s) else "<u4").astype(np.int64) for s, _, c, _ in rows])
+        gram = np.concatenate([np.frombuffer(g, "<u4") for *_, g in rows])
+        sets, place = np.unique(sets, return_inverse=True)  # numbers in the order of the names
+        size = np.zeros(len(sets), np.int64)
+        size[place] = sizes
+        key = np.unique(gram.astype(np.int64) << 32 | np.repeat(place, counts))  # a set that several tasks read counts once
+        gram, own = key >> 32, key & 0xFFFFFFFF
+        first = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
+        df = np.diff(np.r_[first, len(gram)])
+        pivot, df = np.repeat(own[first], df), np.repeat(df, df)  # the least set of the gram
+        keep = df > 1
+        own, pivot, df = own[keep], pivot[keep], df[keep]
+        if len(own):
+            key = own << 32 | pivot
+            by = np.argsort(key, kind="stable")
+            key, df = key[by], df[by]
+            at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            yield {"sid": sets[key[at] >> 32], "size": size[key[at] >> 32], "pivot": sets[key[at] & 0xFFFFFFFF], "grams": np.diff(np.r_[at, len(key)]), "sets": np.maximum.reduceat(df, at)}
 
 
 class _Boundaries:
@@ -446,17 +394,20 @@ def _join(docs: DataFrame, n: int, threshold: float, forest: bool) -> tuple[Data
     """(rows of PAIRS between different sets, lists of documents with equal sets)."""
     spark = docs.sparkSession
     d = texts(docs).where("doc_id is not null and text is not null")
-    survey = settled(map_columns(d, lambda: _Survey(n), "doc_id bigint, h1 bigint, h2 bigint, n bigint, counts binary"))
-    order = spark.sparkContext.broadcast(gram_counts(survey.where("counts is not null")).astype(np.int32))
-    named = survey.where("counts is null")
+    named = settled(map_columns(d, functools.partial(_named, n), "doc_id bigint, h1 bigint, h2 bigint, n bigint"))
     members = settled(named.groupBy("h1", "h2").agg(F.array_sort(F.collect_set("doc_id")).alias("members")))
-    entries = named.agg(F.sum(F.col("n") * (1 - threshold) + 1)).first()[0] or 0
-    buckets = max(8, math.ceil(entries / BUCKET))
+    buckets = max(8, math.ceil((named.agg(F.sum("n")).first()[0] or 0) / BUCKET))
 
     # Up to the regions, 64 bits name a set: if two sets share them, each only gets the other's places as well.
-    packed = map_columns(d, functools.partial(_Prefixes, n, threshold, order, buckets), "bucket int, sids binary, counts binary, low binary, high binary").repartitionById(buckets, "bucket")
-    shared = map_columns(packed, _Shared, "sid bigint, pivot bigint")
-    own = shared.groupBy("sid").agg(F.array_sort(F.collect_set("pivot")).alias("own"))
+    packed = map_columns(d, functools.partial(_Packed, n, buckets), "bucket int, sids binary, sizes binary, counts binary, grams binary").repartitionById(buckets, "bucket")
+    shared = map_columns(packed, _Shared, "sid bigint, size bigint, pivot bigint, grams bigint, sets bigint")
+    by_pivot = shared.groupBy("sid", "pivot").agg(F.max("size").alias("size"), F.sum("grams").alias("grams"), F.max("sets").alias("sets"))
+    pivots = F.array_sort(F.collect_list(F.struct((-F.col("sets")).alias("s"), "grams", "pivot")))
+    each = by_pivot.groupBy("sid").agg(F.max("size").alias("size"), F.sum("grams").alias("shared"), pivots.alias("pivots")).where(F.col("shared") >= F.col("size") * threshold - 1e-9)
+    fits = lambda left, x: (left + x["grams"]) * 2 < F.col("size") * threshold - 1e-9
+    start = F.struct(F.lit(0).cast("bigint").alias("left"), F.array().cast("array<bigint>").alias("own"))
+    leave = F.aggregate("pivots", start, lambda a, x: F.struct(F.when(fits(a["left"], x), a["left"] + x["grams"]).otherwise(a["left"]).alias("left"), F.when(fits(a["left"], x), a["own"]).otherwise(F.concat(a["own"], F.array(x["pivot"]))).alias("own")))
+    own = each.select("sid", F.array_sort(leave["own"]).alias("own"))
     regions = own.select(F.explode("own").alias("region"), "sid", "own").repartition("region").sortWithinPartitions("region")
     placed = settled(map_columns(regions, _Boundaries, "region bigint, sid bigint, core boolean, size int, earlier array<bigint>"))
     blocks = F.ceil(F.col("size") / TILE).cast("int")
