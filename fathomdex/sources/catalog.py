@@ -116,7 +116,10 @@ class Catalog:
         """df becomes the index's rows."""
         m = self.meta(name)
         path = f"{self.root}/{name}/{uuid.uuid4().hex}"
-        df.drop("_index").write.parquet(path)
+        writer = df.drop("_index").write
+        for f in ("_id", *m.settings.get("index.bloom_fields", ())):  # point lookups skip row groups by these
+            writer = writer.option(f"parquet.bloom.filter.enabled#{f}", "true")
+        writer.parquet(path)
         old, m.path, m.frame = m.path, path, self.spark.read.parquet(path)
         self.cache.invalidate(name)
         if old:
@@ -357,6 +360,16 @@ class Catalog:
             raise Missing(f"pipeline [{name}]")
         return self.pipelines[name]
 
+    def simulate_pipeline(self, pipeline: str | dict, docs: DataFrame) -> DataFrame:
+        """docs as the pipeline would leave them."""
+        return scripts.run_pipeline(docs, self.pipeline(pipeline) if isinstance(pipeline, str) else pipeline)
+
+    def suggest(self, pattern: str, body: dict) -> dict[str, DataFrame]:
+        """Suggestions from the dictionary of all indices of the pattern together, so that no text comes twice."""
+        from ..operators import suggest
+
+        return suggest.suggest(self.scan(pattern), body)
+
     def bulk(self, ops: DataFrame, index: str | None = None, most: int | None = MOST_OPS) -> DataFrame:
         """Applies bulk operations (mutate.bulk's columns and, unless index is given, _index); returns a result per line.  most=None lifts the limit of a request."""
         if most is not None and ops.limit(most + 1).count() > most:

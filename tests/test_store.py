@@ -114,6 +114,10 @@ def test_reindex_and_pipelines(catalog, spark, base):
     assert catalog.reindex("a", "b", op_type="create")["total"] == 3
     assert rows(catalog.frame("b").where("_id = '1'"), "t", "v") == [("a", 1)]
     assert catalog.reindex("a", "c", max_docs=1, sort=[{"v": "desc"}])["total"] == 1 and catalog.has("c", "2")
+    assert rows(catalog.simulate_pipeline("p", base), "_id", "t")[0] == ("1", "a")
+    assert [r.text for r in catalog.suggest("a,b", {"x": {"text": "B", "prefix": {"field": "s"}}})["x"].collect()] == ["b"]
+    with pytest.raises(Missing):
+        catalog.simulate_pipeline("none", base)
     with pytest.raises(ParsingError):
         scripts.run_pipeline(base, {"processors": [{"grok": {}}]})
 
