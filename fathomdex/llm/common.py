@@ -93,6 +93,7 @@ def words(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
+_MARKS = ".,;:!?\"'()[]{}*#%&-"
 #: What WordHashes gives for a chunk without a word, and for one with several.
 NONE, SEVERAL = 0, 1
 
@@ -105,8 +106,12 @@ class WordValues(dict):
         raise NotImplementedError
 
     def __missing__(self, chunk: str) -> int:
-        found = WORD.findall(chunk.lower())
-        h = NONE if not found else SEVERAL if len(found) > 1 else self.value(found[0])
+        low = chunk.lower()
+        if low.isalnum() or (low := low.strip(_MARKS)).isalnum():
+            h = self.value(low)  # what is stripped is in no word
+        else:
+            found = WORD.findall(low)
+            h = NONE if not found else SEVERAL if len(found) > 1 else self.value(found[0])
         if len(chunk) <= 64:
             if len(self) > CACHE:
                 self.clear()
@@ -151,6 +156,7 @@ def hash_word(word: str) -> int:
     return max(xxhash.xxh3_64_intdigest(word), 2)
 
 
+_C = np.uint64(0x9E3779B97F4A7C15)
 _A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -163,15 +169,21 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Its values, each once, in order.  For large arrays of integers, much faster than np.unique, which hashes."""
+    x = np.sort(x)
+    return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
+
+
 def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
     """Hashes of all runs of n words, in order; of the whole text if it has fewer words; empty for none."""
     if not len(h):
         return h
     n = min(n, len(h))
-    out = np.zeros(len(h) - n + 1, np.uint64)
-    for k in range(n):
-        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + h[k : len(h) - n + 1 + k])
-    return out + np.uint64(0) if n else out
+    out = h[: len(h) - n + 1]
+    for k in range(1, n):
+        out = out * _C + h[k : len(h) - n + 1 + k]  # a polynomial of word hashes, modulo 2 ** 64
+    return mix(out)
 
 
 def as_long(h: np.ndarray) -> np.ndarray:

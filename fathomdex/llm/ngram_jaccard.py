@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, gram_hashes, map_columns, mix, settled, texts, without
+from .common import WordHashes, distinct, gram_hashes, map_columns, mix, settled, texts, without
 
 N = 5
 THRESHOLD = 0.5
@@ -45,7 +45,7 @@ PAIRS = "doc_a bigint, doc_b bigint, jaccard double"
 
 
 def gram_set(hashes: WordHashes, text: str | None, n: int) -> np.ndarray:
-    return np.unique(gram_hashes(hashes.of(text), n))
+    return distinct(gram_hashes(hashes.of(text), n))
 
 
 def _names(grams: np.ndarray) -> tuple[int, int]:
@@ -143,7 +143,7 @@ class _Shared:
         sets, place = np.unique(sets, return_inverse=True)  # numbers in the order of the names
         size = np.zeros(len(sets), np.int64)
         size[place] = sizes
-        key = np.unique(gram.astype(np.int64) << 32 | np.repeat(place, counts))  # a set that several tasks read counts once
+        key = distinct(gram.astype(np.int64) << 32 | np.repeat(place, counts))  # a set that several tasks read counts once
         gram, own = key >> 32, key & 0xFFFFFFFF
         first = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
         df = np.diff(np.r_[first, len(gram)])
