@@ -6,6 +6,8 @@ stays inside generated code; arrays are built only where a test needs each token
 
 from __future__ import annotations
 
+import functools
+import operator
 import re
 
 from pyspark.sql import Column
@@ -27,12 +29,23 @@ def token_count(c: Column) -> Column:
     return F.regexp_count(F.lower(c), F.lit("[a-z0-9]+"))
 
 
+#: Tokens up to which a plain search for each comes before the regular expression, which most texts are then spared.
+PLAIN = 8
+
+
+def _holds_any(c: Column, found: list[str]) -> Column:
+    return functools.reduce(operator.or_, (F.lower(c).contains(t) for t in found))
+
+
 def frequency(c: Column, token: str) -> Column:
-    return F.regexp_count(F.lower(c), F.lit(f"{_LEFT}{token}{_RIGHT}"))
+    return F.when(~F.lower(c).contains(token), 0).otherwise(F.regexp_count(F.lower(c), F.lit(f"{_LEFT}{token}{_RIGHT}")))
 
 
 def any_token(c: Column, found: list[str]) -> Column:
-    return F.lower(c).rlike(f"{_LEFT}(?:{'|'.join(found)}){_RIGHT}") if found else F.lit(False)
+    if not found:
+        return F.lit(False)
+    test = F.lower(c).rlike(f"{_LEFT}(?:{'|'.join(found)}){_RIGHT}")
+    return _holds_any(c, found) & test if len(found) <= PLAIN else test
 
 
 def all_tokens(c: Column, found: list[str]) -> Column:
@@ -44,7 +57,9 @@ def all_tokens(c: Column, found: list[str]) -> Column:
 
 def phrase(c: Column, found: list[str], prefix: bool = False) -> Column:
     """The tokens one after another; with prefix, the last one need only begin so."""
-    return F.lower(c).rlike(_LEFT + SPLIT.join(found) + ("" if prefix else _RIGHT)) if found else F.lit(False)
+    if not found:
+        return F.lit(False)
+    return F.lower(c).contains(max(found, key=len)) & F.lower(c).rlike(_LEFT + SPLIT.join(found) + ("" if prefix else _RIGHT))
 
 
 def token_prefix(c: Column, start: str) -> Column:
