@@ -71,23 +71,24 @@ def with_score(df: DataFrame, node: A.Node, fields: Fields, where: Column | None
     aggs += [F.count_if(analysis.any_token(F.col(f"`{f}`"), [t])).alias(f"__d{k}") for k, (f, t) in enumerate(pairs)]
     per_index = index in df.columns
     stats = df.groupBy(index).agg(*aggs) if per_index else df.agg(*aggs)  # one row per index, at most 1000 by name resolution
+    # each frequency and length is a column of its own, so that it is counted once however often the formula uses it
+    counted = {f"__t{k}": analysis.frequency(F.col(f"`{f}`"), t) for k, (f, t) in enumerate(pairs)} | {f"__w{i}": analysis.token_count(F.col(f"`{f}`")) for i, f in enumerate(names)}
+    kept = kept.withColumns(counted)
     joined = kept.join(F.broadcast(stats), index) if per_index else kept.crossJoin(F.broadcast(stats))
 
     def one(k: int) -> Column:
-        f, t = pairs[k]
-        i, c = names.index(f), F.col(f"`{f}`")
-        tf, d, n = analysis.frequency(c, t), F.col(f"__d{k}"), F.col(f"__n{i}")
+        i = names.index(pairs[k][0])
+        tf, d, n = F.col(f"__t{k}"), F.col(f"__d{k}"), F.col(f"__n{i}")
         idf = F.log(1 + (n - d + 0.5) / (d + 0.5))
-        s = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * analysis.token_count(c) / F.col(f"__l{i}")))
-        return F.when(tf > 0, s).otherwise(0.0)
+        return F.coalesce(idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col(f"__w{i}") / F.col(f"__l{i}"))), F.lit(0.0))
 
     total = []
     for c in parts:
         by_field = [functools.reduce(operator.add, (one(pairs.index((f, t))) for t in c.tokens)) for f in c.fields]
         total.append(by_field[0] if len(by_field) == 1 else F.greatest(*by_field) if c.combine == "max" else functools.reduce(operator.add, by_field))
-    score = functools.reduce(operator.add, total)
-    out = joined.withColumn("_score", F.when(score > 0, score).otherwise(1.0))
-    return out.drop(*[c for c in stats.columns if c.startswith("__")])
+    out = joined.withColumn("_score", functools.reduce(operator.add, total))
+    out = out.withColumn("_score", F.when(F.col("_score") > 0, F.col("_score")).otherwise(1.0))
+    return out.drop(*[c for c in stats.columns if c.startswith("__")], *counted)
 
 
 def matching_scored(df: DataFrame, node: A.Node, fields: Fields) -> DataFrame:
