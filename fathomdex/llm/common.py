@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 WORD = re.compile(r"\w+")
-#: Entries a Python worker keeps in one of its caches before it starts afresh; it bounds memory, not results.
-CACHE = 300_000
+#: Entries a Python worker keeps in one of its caches (words, of those of words' numbers) before it starts afresh; it bounds memory, not results.
+CACHE, WORDS = 300_000, 200_000
+#: Rows that a Python worker turns into objects at a time.
+ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,13 +52,13 @@ def without(docs: DataFrame, ids: DataFrame, how: str = "left_anti") -> DataFram
 
 
 def map_columns(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[dict] | None]], schema: str) -> DataFrame:
-    """mapInArrow over dictionaries of columns.  make() runs once per task and returns the function for one batch."""
+    """mapInArrow over dictionaries of columns.  make() runs once per task and returns the function for one batch, of at most ROWS rows."""
     spark = df.sparkSession
     arrow = to_arrow_schema(spark.createDataFrame([], schema).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
-        for batch in batches:
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             for out in f(batch) or ():
                 yield pa.RecordBatch.from_arrays([pa.array(out[x.name], type=x.type) if not isinstance(out[x.name], pa.Array) else out[x.name].cast(x.type) for x in arrow], schema=arrow)
         if hasattr(f, "close"):
@@ -113,7 +115,7 @@ class WordValues(dict):
             found = WORD.findall(low)
             h = NONE if not found else SEVERAL if len(found) > 1 else self.value(found[0])
         if len(chunk) <= 64:
-            if len(self) > CACHE:
+            if len(self) > WORDS:
                 self.clear()
             self[chunk] = h
         return h

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordIds, map_columns, settled, texts, without, words
+from .common import WordIds, distinct, map_columns, settled, texts, without, words
 
 UNIT = 48
 BLOCK_UNITS = 4
@@ -90,7 +90,7 @@ class Index:
         at = np.flatnonzero(ids >= 0)
         width = len(self.numbers) + 1
         key = at // UNIT * width + ids[at]
-        key = np.unique(np.concatenate([key, key[at >= UNIT] - width]))  # each word is in the passage that starts with its unit and in the one before
+        key = distinct(np.concatenate([key, key[at >= UNIT] - width]))  # each word is in the passage that starts with its unit and in the one before
         passage, term = key // width, key % width
         if not len(passage):
             return {}
@@ -133,7 +133,7 @@ class Index:
         """The best verified hit of each item: (item, word position, score, question overlap, answer overlap)."""
         best, w = {}, None
         for start, blocks in self.passages(ids, threshold).items():
-            terms = np.unique(ids[start : start + 2 * UNIT])
+            terms = distinct(ids[start : start + 2 * UNIT])
             terms = terms[terms >= 0].tolist()
             for block in blocks:
                 for unit, score in self.wand(terms, int(block), threshold):
