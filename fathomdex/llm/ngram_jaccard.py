@@ -34,7 +34,7 @@ from .common import WordHashes, distinct, gram_hashes, map_columns, mix, settled
 N = 5
 THRESHOLD = 0.5
 #: Grams of one bucket that a task sorts at a time.
-BUCKET = 2_000_000
+BUCKET = 3_000_000
 #: Sets of a region that one task holds of each side; larger regions are joined tile by tile.
 TILE = 1500
 #: Regions up to this size are not divided again.
@@ -89,7 +89,7 @@ class _Packed:
             self.sids.append(sid)
             self.grams.append(g)
             self.held += len(g)
-            if self.held > 1_000_000:
+            if self.held > 2_000_000:
                 yield self.flush()
 
     def close(self):
