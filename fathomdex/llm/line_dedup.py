@@ -18,11 +18,14 @@ from __future__ import annotations
 
 import functools
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_columns, settled, texts
+from .common import as_long, distinct, map_columns, mix, settled, texts
 
 BLOCKS = 4
 #: Shorter lines are never removed: one edit makes another word of them.
@@ -53,16 +56,41 @@ def _block_keys(s: str) -> list[int]:
     return [_signed(_outside(s, m, j)) for m in (n, n - 1) for j in range(BLOCKS)]
 
 
-def _variants(s: str, slot: int) -> list[tuple[int, bool]]:
-    """(hashed variant, whether s is the whole, shorter string of an insertion) of the block named by a slot of _block_keys."""
+#: Base of the polynomial hash of a block, modulo 2 ** 64, and its inverse.
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = np.uint64(pow(_BASE, -1, 1 << 64))
+
+
+def _variants(s: str, slot: int) -> tuple[np.ndarray, int]:
+    """(hashed variants, how many of the first are s as the whole, shorter string of an insertion) of the block named by a slot of _block_keys.
+
+    With the polynomial's sums up to each character, the block without its i-th character is hashed in constant time, however long the line.
+    """
     n, j = len(s), slot % BLOCKS
     m = n if slot < BLOCKS else n - 1
     o = _bounds(m)
-    key, block = _outside(s, m, j), s[o[j] : o[j + 1] + n - m]
-    cut = [block[:i] + block[i + 1 :] for i in range(len(block))]
-    if slot < BLOCKS:
-        return [(_signed(_h(f"F{block}", key)), True)] + [(_signed(_h(f"{i} {v}", key)), False) for i, v in enumerate(cut)]
-    return [(_signed(_h(f"F{v}", key)), False) for v in set(cut)]
+    key, block = np.uint64(_outside(s, m, j)), s[o[j] : o[j + 1] + n - m]
+    c = mix(np.frombuffer(block.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1))
+    power = np.cumprod(np.concatenate(([np.uint64(1)], np.full(max(0, len(c) - 1), _BASE, np.uint64))))[: len(c)]
+    p = np.concatenate((np.zeros(1, np.uint64), np.cumsum(c * power)))
+    cut = p[:-1] + (p[-1] - p[1:]) * _INVERSE
+    if slot >= BLOCKS:
+        return distinct(mix(cut ^ key)), 0
+    place = np.arange(1, len(c) + 1, dtype=np.uint64)
+    return np.concatenate((mix(p[-1:] ^ key), mix(mix(cut ^ key) * np.uint64(_BASE) + place))), 1
+
+
+def one_edit(a: str, b: str) -> bool:
+    """Whether two different strings are one insertion, deletion or substitution apart; by comparing halves, so that long lines cost little."""
+    if len(a) > len(b):
+        a, b = b, a
+    if len(b) - len(a) > 1:
+        return False
+    lo, hi = 0, len(a)
+    while lo < hi:  # the length of the common beginning
+        k = (lo + hi + 1) // 2
+        lo, hi = (k, hi) if a[lo:k] == b[lo:k] else (lo, k - 1)
+    return a[lo + (len(a) == len(b)) :] == b[lo + 1 :]
 
 
 def joined(big: DataFrame, small: DataFrame, on: str, how: str) -> DataFrame:
@@ -112,7 +140,7 @@ def duplicate_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
     def spread():
         def batch(b):
-            ids, nos, ss, vs, whole = [], [], [], [], []
+            ids, nos, vs, whole, size = [], [], [], [], []
             for i, t, want in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
                 found = t.split("\n")
                 for x in want:
@@ -120,12 +148,14 @@ def duplicate_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
                         continue  # another text under the same doc_id
                     s = found[x["line_no"]].strip(_ENDS)
                     for slot in x["slots"]:
-                        v = _variants(s, slot)
-                        ids += [i] * len(v)
-                        nos += [x["line_no"]] * len(v)
-                        vs += [y for y, _ in v]
-                        whole += [y for _, y in v]
-            yield {"doc_id": ids, "line_no": nos, "variant": vs, "whole": whole}
+                        v, first = _variants(s, slot)
+                        ids.append(i)
+                        nos.append(x["line_no"])
+                        size.append(len(v))
+                        vs.append(v)
+                        whole.append(np.arange(len(v)) < first)
+            if ids:
+                yield {"doc_id": np.repeat(ids, size), "line_no": np.repeat(nos, size), "variant": as_long(np.concatenate(vs)), "whole": np.concatenate(whole)}
 
         return batch
 
@@ -144,12 +174,17 @@ def duplicate_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     ends = near.select(F.explode(F.array("a", "b")).alias("at")).distinct().groupBy(F.col("at.doc_id").alias("doc_id")).agg(F.collect_set("at.line_no").alias("nos"))
     strings = joined(d, settled(ends), "doc_id", "inner").select("doc_id", F.explode("nos").alias("line_no"), "text").select(F.struct("doc_id", "line_no").alias("at"), F.trim(F.get(F.split("text", "\n", -1), F.col("line_no")), F.lit(_ENDS)).alias("s")).groupBy("at").agg(F.min("s").alias("s"))
     strings = settled(strings)
-    checked = (
-        near.join(strings.select(F.col("at").alias("a"), F.col("s").alias("sa")), "a")
-        .join(strings.select(F.col("at").alias("b"), F.col("s").alias("sb")), "b")
-        .where((F.levenshtein("sa", "sb", 1) >= 0) & (F.col("sa") != F.col("sb")))
-        .select(F.col("b").alias("at"), F.col("a").alias("first"), F.lit(1).alias("distance"))
-    )
+
+    def verify():
+        def batch(b):
+            yes = pa.array([x != y and one_edit(x, y) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())], pa.bool_())
+            yield {"at": b.column(1).filter(yes), "first": b.column(0).filter(yes), "distance": [1] * pc.sum(yes.cast("int32")).as_py() if len(yes) else []}
+
+        return batch
+
+    pairs = near.join(strings.select(F.col("at").alias("a"), F.col("s").alias("sa")), "a").join(strings.select(F.col("at").alias("b"), F.col("s").alias("sb")), "b")
+    place = "struct<doc_id:bigint,line_no:int>"
+    checked = map_columns(pairs.select("a", "b", "sa", "sb"), verify, f"at {place}, first {place}, distance int")
     gone = same.union(checked).groupBy("at").agg(F.min(F.struct("first", "distance")).alias("k"))
     return gone.select("at.doc_id", "at.line_no", F.col("k.first.doc_id").alias("kept_doc_id"), F.col("k.first.line_no").alias("kept_line_no"), F.col("k.distance").alias("distance"))
 

@@ -42,6 +42,15 @@ def test_lines_of_odd_rows(frame, odd_rows):
     assert line_dedup.line_dedup(frame([])).count() == 0
 
 
+def test_very_long_lines_one_edit_apart(frame):
+    r = random.Random(6)
+    line = "".join(r.choice("abcdefgh ") for _ in range(200_000)).strip()
+    k = 77_777
+    docs = [(1, line), (2, line[:k] + line[k + 1 :]), (3, line[:k] + "Z" + line[k + 1 :]), (4, line[:k] + "ZZ" + line[k:])]
+    got = {(x.doc_id, x.kept_doc_id) for x in line_dedup.duplicate_lines(frame(docs)).collect()}
+    assert got == {(2, 1), (3, 1)}
+
+
 def test_the_earliest_of_many_copies_stays(frame):
     line = "the very same line in very many documents"
     docs = [(k, line if k % 2 else line.replace("very m", "wery m")) for k in range(300)]
