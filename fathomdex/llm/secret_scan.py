@@ -2,8 +2,9 @@
 
 For each credential format, the labelled examples make a prefix tree of characters; states whose outgoing frequencies are statistically
 compatible (Hoeffding bound) are merged, red-blue, into a probabilistic automaton.  Every candidate of every text - a run of credential
-characters, and its parts between separators - is scored by each automaton: the mean over its characters of log P(format) minus log P of a
-uniform character.  The threshold of a format lies between its own examples and those of all other labels.
+characters, and its parts between separators - is scored by each automaton, whatever its length: the mean over its characters of log P(format)
+minus log P of a uniform character.  The threshold of a format lies between its own examples and those of all other labels, and a secret must be
+likelier by its format than as ordinary text: by an automaton of the plain examples, and as a run of digits or of letters of one case.
 
 The labelled examples are made here from the published shapes of the formats, by a seeded generator; a table of (label, value) rows can be
 given instead.  Training is on the driver, over a bounded sample (SAMPLE per label); the scan is one narrow pass.
@@ -53,12 +54,12 @@ def labelled(seed: int, n: int) -> list[tuple[str, str]]:
     make = {
         "aws_access_key": lambda: r.choice(("AKIA", "ASIA")) + pick(up + "234567", 16),
         "github_token": lambda: r.choice(("ghp_", "gho_", "ghs_")) + pick(low + up + dig, 36),
-        "slack_token": lambda: r.choice(("xoxb-", "xoxp-")) + pick(dig, r.randint(10, 12)) + "-" + pick(dig, r.randint(10, 12)) + "-" + pick(low + up + dig, 24),
+        "slack_token": lambda: r.choice(("xoxb-", "xoxp-")) + pick(dig, r.randint(10, 13)) + "-" + pick(dig, r.randint(10, 13)) + "-" + pick(low + up + dig, 24),
         "google_api_key": lambda: "AIza" + pick(url, 35),
-        "stripe_key": lambda: r.choice(("sk_live_", "rk_live_", "sk_test_")) + pick(low + up + dig, 24),
-        "jwt": lambda: "eyJ" + pick(url, r.randint(30, 40)) + ".eyJ" + pick(url, r.randint(40, 120)) + "." + pick(url, 43),
-        "hex_token": lambda: pick(dig + "abcdef", r.choice((32, 40, 40, 64))),
-        "hex_token_upper": lambda: pick(dig + "ABCDEF", r.choice((32, 40, 40, 64))),
+        "stripe_key": lambda: r.choice(("sk_live_", "rk_live_", "sk_test_")) + pick(low + up + dig, r.choice((24, 99))),
+        "jwt": lambda: "eyJ" + pick(url, r.randint(17, 100)) + ".eyJ" + pick(url, r.randint(40, 800)) + "." + pick(url, r.choice((43, 64, 86, 342, 683))),
+        "hex_token": lambda: pick(dig + "abcdef", r.choice((32, 40, 40, 64, 96, 128))),
+        "hex_token_upper": lambda: pick(dig + "ABCDEF", r.choice((32, 40, 40, 64, 96, 128))),
         PLAIN: plain,
     }
     return [(label, f()) for label, f in make.items() for _ in range(n)]
@@ -71,7 +72,6 @@ class Automaton:
         self.next: list[dict[str, int]] = [{}]
         self.through: list[dict[str, int]] = [{}]
         self.ends, self.total = [0], [0]
-        self.shortest, self.longest = min(map(len, values)), max(map(len, values))
         for v in sorted(values):
             q = 0
             for c in v:
@@ -91,12 +91,13 @@ class Automaton:
         self.bound = math.sqrt(0.5 * math.log(2 / alpha))
         red, seen = [0], {0}
         while True:
-            blue = next(((q, c) for q in red for c in sorted(self.next[q]) if self.next[q][c] not in seen), None)
+            # most evidence first, and loops before jumps: states seen once or twice are compatible with any, the start included
+            blue = max(((self.total[b], -k, c) for k, q in enumerate(red) for c, b in self.next[q].items() if b not in seen), default=None)
             if blue is None:
                 break
-            q, c = blue
+            q, c = red[-blue[1]], blue[2]
             b = self.next[q][c]
-            for r in red:
+            for r in [q, *reversed(red)]:
                 if self.compatible(r, b):
                     self.next[q][c] = r
                     self.fold(r, b)
@@ -110,7 +111,7 @@ class Automaton:
         return not m or not n or abs(a / m - b / n) <= self.bound * (m**-0.5 + n**-0.5)
 
     def compatible(self, a: int, b: int) -> bool:
-        todo, steps = [(a, b)], 0
+        todo = [(a, b)]
         while todo:
             x, y = todo.pop()
             if not self.close(self.ends[x], self.total[x], self.ends[y], self.total[y]):
@@ -119,9 +120,6 @@ class Automaton:
                 if not self.close(self.through[x].get(c, 0), self.total[x], self.through[y].get(c, 0), self.total[y]):
                     return False
             todo += [(self.next[x][c], self.next[y][c]) for c in self.next[x].keys() & self.next[y].keys()]
-            steps += 1
-            if steps > 2000:
-                break
         return True
 
     def fold(self, a: int, b: int) -> None:
@@ -155,10 +153,8 @@ class Automaton:
             total += x
         return total + self.stops[q]
 
-    def score(self, value: str) -> float | None:
-        """Mean log ratio to a uniform character; None for lengths no example had."""
-        if not self.shortest <= len(value) <= self.longest:
-            return None
+    def score(self, value: str) -> float:
+        """Mean log ratio to a uniform character, the end counting as one; any length is judged by the transitions and the end alone."""
         return self.log_p(value) / (len(value) + 1) - UNIFORM
 
 
@@ -178,21 +174,29 @@ class Formats:
                 continue
             a = Automaton(values[:SAMPLE]).infer()
             own = sorted(a.score(v) for v in values)
-            others = [s for k, vs in by.items() if k != label for v in vs if (s := a.score(v)) is not None]
+            others = [a.score(v) for k, vs in by.items() if k != label for v in vs]
             worst = own[len(own) // 100]
             other = max([s for s in others if s < worst], default=worst - 2)
             self.automata[label] = (a, (worst + max(other, worst - 2)) / 2)
+        self.plain = Automaton(by[PLAIN][:SAMPLE]).infer() if by.get(PLAIN) else None
         self.known: dict[str, tuple | None] = {}
 
+    def ordinary(self, value: str) -> float:
+        """Log-likelihood of what is no secret: by the plain examples, or as a run of digits or of letters of one case."""
+        run = 10 if value.isdigit() else 26 if value.isalpha() and (value.islower() or value.isupper()) else 0
+        return max(self.plain.log_p(value) if self.plain else -math.inf, UNIFORM - len(value) * math.log(run) if run else -math.inf)
+
     def best(self, value: str) -> tuple[str, float, float] | None:
-        """(format, log-likelihood, score) of the likeliest format that accepts the value."""
+        """(format, log-likelihood, score) of the likeliest format that accepts the value, if it is likelier than plain text."""
         if value in self.known:
             return self.known[value]
         out = None
         for label, (a, least) in self.automata.items():
             s = a.score(value)
-            if s is not None and s >= least and (out is None or s > out[2]):
+            if s >= least and (out is None or s > out[2]):
                 out = (label, a.log_p(value), s)
+        if out and self.ordinary(value) >= out[1]:
+            out = None
         if len(value) <= 64:
             if len(self.known) > CACHE:
                 self.known.clear()

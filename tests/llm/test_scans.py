@@ -94,6 +94,28 @@ def test_held_out_secrets():
     assert wrong <= 0.02 * n_plain
 
 
+def test_long_secrets_are_scored_at_any_length():
+    """Lengths beyond those of the first round's examples, and ordinary runs as long."""
+    f = secret_scan.default_formats()
+    r = random.Random(12)
+    low, dig = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    url = low + low.upper() + dig + "-_"
+    pick = lambda chars, k: "".join(r.choice(chars) for _ in range(k))
+    long = {
+        "jwt": [lambda: f"eyJ{pick(url, 33)}.eyJ{pick(url, r.randint(150, 1500))}.{pick(url, 43)}", lambda: f"eyJ{pick(url, 33)}.eyJ{pick(url, 300)}.{pick(url, 342)}"],
+        "slack_token": [lambda: f"xoxb-{pick(dig, 13)}-{pick(dig, 13)}-{pick(url[:-2], 24)}"],
+        "stripe_key": [lambda: "sk_live_" + pick(url[:-2], 99)],
+        "hex_token": [lambda: pick(dig + "abcdef", 128), lambda: pick(dig + "abcdef", 200)],
+    }
+    for label, makers in long.items():
+        for make in makers:
+            hits = [f.best(make()) for _ in range(60)]
+            assert sum(h is not None and h[0] == label for h in hits) >= 54, label
+    words = ("the", "article", "content", "images", "2019", "news-and-events", "index.html")
+    plain = [make() for _ in range(60) for make in (lambda: "https://www.example.com/" + "/".join(r.choice(words) for _ in range(40)), lambda: pick(dig, r.randint(16, 90)), lambda: pick(low, r.randint(16, 300)))]
+    assert sum(f.best(x) is not None for x in plain) <= 3
+
+
 def test_merging_generalises():
     a = secret_scan.Automaton(["ab" * k for k in range(1, 40)] * 3).infer()
     states = len(a.steps)
