@@ -6,7 +6,8 @@ that of the unit itself, which makes one threshold mean the same for all.  Posti
 similar size with each term's highest impact there; blocks whose bound stays below the threshold are skipped, the rest are searched by
 WAND, so that all units above the threshold are found.  Each hit is verified on the words around it: enough of the
 question's word pairs and of the answer's must be there.  The answer is the item's column of that name if the table has it, else
-its last sentence (none if it has only one).
+its last sentence (none if it has only one).  As that is a guess, an item without a given answer is also found by the question's part of the
+word pairs of the whole item, whatever became of its last sentence.
 
 The documents are read once, without a shuffle.  The index is broadcast: it is as large as the benchmark, whose size is checked; a larger
 benchmark is searched in several parts, one after another.
@@ -50,7 +51,8 @@ def _pairs(w: list) -> set:
 
 
 class Index:
-    def __init__(self, items: list[tuple[int, str, str | None]]):
+    def __init__(self, items: list[tuple[int, str, str | None]], whole: bool = False):
+        """whole: items whose answer is only their last sentence are also found by the overlap of the whole item."""
         self.items, units = [], []
         for item, text, answer in items:
             q, a = split_item(text, answer)
@@ -59,7 +61,7 @@ class Index:
                 continue
             n = -(-len(all_) // UNIT)
             k = len(self.items)
-            self.items.append((item, q, a, len(all_)))
+            self.items.append((item, q, a, len(all_), all_ if whole and answer is None and a else None))
             units += [(k, all_[j * len(all_) // n : (j + 1) * len(all_) // n]) for j in range(n)]
         units.sort(key=lambda u: len(u[1]))
         self.units = [k for k, _ in units]
@@ -137,11 +139,11 @@ class Index:
             terms = terms[terms >= 0].tolist()
             for block in blocks:
                 for unit, score in self.wand(terms, int(block), threshold):
-                    item, q, a, size = self.items[self.units[unit]]
+                    item, q, a, size, whole = self.items[self.units[unit]]
                     w = w if w is not None else words(text)
                     near = _pairs(w[max(0, start - size) : start + 2 * UNIT + size]) | _pairs_of_one(q, a, w, start, size)
                     qo, ao = (None if not x else len(_pairs(x) & near) / len(_pairs(x)) for x in (q, a))
-                    if (qo is None or qo >= question) and (ao is None or ao >= answer):
+                    if (qo is None or qo >= question) and (ao is None or ao >= answer) or whole and len(_pairs(whole) & near) >= question * len(_pairs(whole)):
                         found = (round(score, 6), -start, qo, ao)
                         if item not in best or found[:2] > best[item][:2]:
                             best[item] = found
@@ -171,14 +173,15 @@ def _parts(benchmark: DataFrame):
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, question: float = QUESTION, answer: float = ANSWER) -> DataFrame:
     """(doc_id, item_id, position, bm25, question_overlap, answer_overlap): each document and item it holds, at its best passage.
 
-    position counts words from 0.  An overlap is null where the item has no such part.  Null texts, empty texts and null item texts match nothing;
+    position counts words from 0.  An overlap is null where the item has no such part; where no answer is given, one of them may be below its threshold, if
+    the whole item's overlap reaches the question's.  Null texts, empty texts and null item texts match nothing;
     rows with a null doc_id are not searched; repeated rows give one result; items with equal texts are all reported; extra columns are not read.
     """
     spark = docs.sparkSession
     d = texts(docs).where("doc_id is not null and text is not null")
     out = None
     for part in _parts(benchmark):
-        index = spark.sparkContext.broadcast(Index(part))
+        index = spark.sparkContext.broadcast(Index(part, whole=True))
 
         def make(index=index):
             ids_of, ix = WordIds(index.value.numbers), index.value

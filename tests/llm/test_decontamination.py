@@ -1,4 +1,5 @@
 import random
+import re
 
 import brute
 import pytest
@@ -82,6 +83,30 @@ def test_answers_of_their_own_column(frame, spark):
     assert [r.doc_id for r in D.contaminated(docs, items).collect()] == [1]
 
 
+def test_items_with_their_last_sentence_changed_or_missing(frame, spark):
+    """Without an answer column the last sentence is no answer that must be there; with one, it is."""
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(7))
+    body = " ".join(word() for _ in range(30))
+    text = lambda last: f"{body}. {last}"
+    items = spark.createDataFrame([(1, text("One two three four."))], ITEMS)
+    rows = [(1, text("One two three four.")), (2, text("One two three five.")), (3, body + "."), (4, text("Other words altogether stand here.")), (5, " ".join(body.split()[:15])), (6, "One two three four.")]
+    assert sorted(x.doc_id for x in D.contaminated(frame(rows), items).collect()) == [1, 2, 3, 4]
+    assert sorted(x.doc_id for x in D.clean(frame(rows), items).collect()) == [5, 6]
+    given = spark.createDataFrame([(1, body, "one two three four")], ITEMS + ", answer string")
+    assert [x.doc_id for x in D.contaminated(frame(rows), given).collect()] == [1]
+
+
+@pytest.mark.parametrize("seed,threshold,question", [(1, 0.6, 0.7), (2, 0.3, 0.3)])
+def test_whole_items_against_all_pairs(frame, spark, seed, threshold, question):
+    """What either the question and the derived answer or, as one question, the whole item finds."""
+    docs, items = _made(seed)
+    as_one = [(i, re.sub(r"[.!?]", "", t)) for i, t in items]  # one sentence, so without an answer
+    want = brute.contaminated(docs, items, D.UNIT, threshold, question, question) | brute.contaminated(docs, as_one, D.UNIT, threshold, question, question)
+    got = {(x.doc_id, x.item_id) for x in D.contaminated(frame(docs), spark.createDataFrame(items, ITEMS), threshold, question, question).collect()}
+    assert got == want > brute.contaminated(docs, items, D.UNIT, threshold, question, question)
+
+
 def test_large_benchmarks_are_searched_in_parts(frame, spark, monkeypatch):
     docs, items = _made(11)
     table = spark.createDataFrame(items, ITEMS)
