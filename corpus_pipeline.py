@@ -1,7 +1,7 @@
 """A training corpus from raw documents: each stage takes what its predecessor kept, written as Parquet and read again.
 
 Quality rules drop documents that fail the current policy; of each group of near duplicates (connected by the n-gram Jaccard join) the document with
-the least doc_id stays; documents that hold a benchmark item go; sources are mixed to target weights; what is left becomes
+the least doc_id stays, and of repeated rows of a document one; documents that hold a benchmark item go; sources are mixed to target weights; what is left becomes
 bit-packed token ids.
 """
 
@@ -20,7 +20,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return ngram_jaccard.keep_one(docs)
+    return ngram_jaccard.one_row(ngram_jaccard.keep_one(docs))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

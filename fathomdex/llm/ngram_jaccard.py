@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, distinct, gram_hashes, map_columns, mix, settled, texts, without
+from .common import WordHashes, distinct, gram_hashes, map_columns, mix, settled, texts, unused, without
 
 N = 5
 THRESHOLD = 0.5
@@ -476,6 +476,31 @@ def near_groups(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> Da
 
 
 def keep_one(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without the documents of near_groups that are not their group's least doc_id; null doc_ids and texts stay."""
+    """docs without the documents of near_groups that are not their group's least doc_id; null doc_ids and texts stay.
+
+    Repeated rows of a doc_id are one document and stay or go together; one_row takes one of them.
+    """
     gone = settled(near_groups(docs, n, threshold).where("doc_id != group_id").select("doc_id"))
     return without(docs, gone)
+
+
+def one_row(docs: DataFrame) -> DataFrame:
+    """docs with one row of each (doc_id, text), that of the least source if the table has that column; nulls are equal to nulls.
+
+    Only hashes are counted, and only the texts of repeated rows are shuffled.
+    """
+    (key,) = unused(docs, "key")
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    again = settled(keyed.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key))
+    n = again.count()
+    if not n:
+        return docs
+    again = F.broadcast(again) if n <= 1_000_000 else again
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rows = keyed.join(again, key, "left_semi").drop(key)
+    if others:
+        least = F.coalesce(F.col("source").cast("string"), F.lit("")) if "source" in others else F.lit("")
+        rows = rows.groupBy("doc_id", "text").agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in others)), least).alias(key)).select("doc_id", "text", f"{key}.*")
+    else:
+        rows = rows.distinct()
+    return keyed.join(again, key, "left_anti").drop(key).unionByName(rows)

@@ -3,6 +3,7 @@ import random
 import brute
 import pytest
 
+import corpus_pipeline
 from fathomdex.llm import line_dedup, ngram_jaccard
 
 
@@ -125,3 +126,17 @@ def test_one_of_each_group_stays(frame, odd_rows):
     assert kept.columns == frame(odd_rows, clash=True).columns
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [-9, 1, 2, 3, 4, 5, 5, 7, 7, 8]
     assert kept.where("doc_id is null").count() == 2
+
+
+def test_one_row_of_repeated_ones(frame, odd_rows, spark):
+    docs = frame(odd_rows, clash=True)
+    got = corpus_pipeline.near_duplicates(spark, docs, None)
+    assert got.columns == docs.columns
+    assert sorted(r.doc_id for r in got.collect() if r.doc_id is not None) == [-9, 1, 2, 3, 4, 5, 7, 7, 8]
+    twice = frame([*odd_rows, *((i, t, "0") for i, t, _ in odd_rows)], clash=True)
+    rows = ngram_jaccard.one_row(twice)
+    assert rows.columns == twice.columns
+    assert sorted(map(repr, ((r.doc_id, r.text) for r in rows.collect()))) == sorted(map(repr, {(i, t) for i, t, _ in odd_rows}))
+    assert {r.source for r in rows.collect()} <= {"0", None} and {r["__text"] for r in rows.collect()} == {"x"}
+    assert ngram_jaccard.one_row(twice.select("text", "doc_id")).count() == rows.count()
+    assert ngram_jaccard.one_row(frame([])).count() == 0
