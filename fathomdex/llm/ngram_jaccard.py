@@ -6,14 +6,15 @@ documents that can have a partner at all:
 
 1.  The grams of every set travel packed, bucket by bucket of the gram hash, and numpy finds in each bucket which are shared.  A set with
     a partner shares at least the threshold's part of its grams with others; the rest leave.
-2.  Pivots and Voronoi regions: the least set that holds a gram is the gram's pivot; a set belongs to the regions of the pivots it shares grams with.
+2.  Pivots and regions, which are cells of shared grams and not of the nearest pivot: the least set that holds a gram is the gram's pivot; a set belongs to the regions of the pivots it shares grams with.
     Pivots that stand for less than half the threshold's part of its grams altogether are left out, the most widespread grams (boilerplate) first: two
     sets of the threshold's similarity share more grams than both leave out, so one pivot remains that both have.
 3.  Boundaries: a set is replicated to further regions only where some set of that region has no earlier region in common with it.  In a region
     the distances to the pivot are computed; by the triangle inequality only replicas at most t (= 1 - threshold) beyond its farthest core
     member stay, and |d(x, p) - d(y, p)| <= t prunes pairs.
 4.  Regions join recursively: a large region is divided again around pivots of its own, with windows d(x, q) <= d(x, p(x)) + 2 t,
-    until it is small or no longer shrinks; exact intersections decide.  Regions too large for one task are joined as tiles.
+    until it is small or no longer shrinks; exact intersections decide.  At thresholds up to 0.5 (t >= 0.5) these windows exclude nothing, as no
+    distance exceeds 1, so regions are joined as blocks.  Regions too large for one task are joined as tiles.
 
 Every step keeps each pair of the threshold, so the result is exact.  Equal sets share one row throughout and meet when pairs are reported.
 """
