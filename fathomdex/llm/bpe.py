@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import functools
 import os
+import re
 
 import regex
 
@@ -26,6 +27,26 @@ def encoder(path: str):
     return tiktoken.Encoding("documents", pat_str=PATTERN, mergeable_ranks=load_ranks(path), special_tokens={})
 
 
+#: White space, as the pattern knows it, from which on a run is cut out before the library sees it: its regular expression goes back over such a run
+#: by recursion and ends the process.
+RUN = 10_000
+_LONG = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % RUN)
+
+
+def encode(library, text: str) -> list[int]:
+    """The ids of library.encode_ordinary, for texts with runs of white space of any length.
+
+    The pattern makes one pre-token of all but a run's last character, or of all at the text's end; the last goes with what follows, as it would.
+    """
+    out, at = [], 0
+    if len(text) >= RUN:
+        for m in _LONG.finditer(text):
+            stop = m.end() - (m.end() < len(text))
+            out += library.encode_ordinary(text[at : m.start()]) + library._encode_single_piece(text[m.start() : stop])
+            at = stop
+    return out + library.encode_ordinary(text[at:] if at else text)
+
+
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Plain BPE: merge the adjacent pair of lowest rank, the leftmost of equals, until none is in the vocabulary."""
     parts = [piece[i : i + 1] for i in range(len(piece))]

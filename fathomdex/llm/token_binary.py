@@ -62,12 +62,12 @@ def token_binary(docs: DataFrame, vocabulary: str = f"{bpe.DEFAULT_DIR}/byte_bpe
     bits = width(max(bpe.load_ranks(vocabulary).values()) + 1)
 
     def make():
-        encode = bpe.encoder(vocabulary).encode_ordinary
+        library = bpe.encoder(vocabulary)
 
         def batch(b):
             ids, texts_ = b.column(0).to_pylist(), b.column(1)
             for at in range(0, len(ids), 500):
-                found = [None if t is None else np.array(encode(t), np.uint32) for t in texts_.slice(at, 500).to_pylist()]
+                found = [None if t is None else np.array(bpe.encode(library, t), np.uint32) for t in texts_.slice(at, 500).to_pylist()]
                 blocks = [(None, None) if x is None else pack_blocks(x, bits, block) for x in found]
                 yield {"doc_id": ids[at : at + 500], "n_tokens": [None if x is None else len(x) for x in found], "bits": [bits] * len(found), "block_size": [block] * len(found), "block_offsets": [x for x, _ in blocks], "packed": [x for _, x in blocks]}
 

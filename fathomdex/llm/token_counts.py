@@ -22,7 +22,7 @@ class Counts(bpe.Chunks):
 
     def make(self, pre_tokens: list[str]) -> int:
         rest = [p for p in pre_tokens if p not in self.whole]
-        return len(pre_tokens) * self.A + (len(pre_tokens) - len(rest)) * self.B + sum(len(self.bpe.encode_ordinary(p)) for p in rest)
+        return len(pre_tokens) * self.A + (len(pre_tokens) - len(rest)) * self.B + sum(len(self.bpe._encode_single_piece(p)) for p in rest)
 
     def join(self, parts) -> tuple[int, int, int]:
         x = sum(parts)

@@ -85,3 +85,34 @@ def test_binary_of_odd_rows_and_the_query(frame, odd_rows, spark, sf_dir, encodi
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     for r in queries()["op7_token_binary"](spark, sf_dir).collect():
         assert token_binary.read_tokens(bytes(r.packed), r.block_offsets, r.n_tokens, r.bits).tolist() == encoding.encode_ordinary(docs[r.doc_id])
+
+
+@pytest.mark.parametrize("c", [" ", "\n", "\u3000", "a", "1", "-", "é", "a\u00a0"])
+def test_very_long_runs(c, frame):
+    """A million of one character between words; the library's own expression ends the process on such white space."""
+    counts, enc, _ = coders()
+    text = "a b" + c * (1_000_000 // len(c)) + "b c"
+    if c.isspace():
+        want = enc.encode_ordinary("a b") + enc._encode_single_piece(c * 999_999) + enc.encode_ordinary(c + "b c")
+    else:
+        want = [x for p in regex.findall(bpe.PATTERN, text) for x in enc._encode_single_piece(p)]
+    assert bpe.encode(enc, text) == want
+    assert sum(counts.of(text)[1:]) == len(want)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["a", "  ", "\n\n\n", " \t  ", "b c", "é", "\u3000 \u3000", " "]), max_size=12))
+def test_cut_runs_agree_with_the_encoder(parts):
+    _, enc, _ = coders()
+    text, long = "".join(parts), (bpe.RUN, bpe._LONG)
+    try:
+        bpe.RUN, bpe._LONG = 2, __import__("re").compile(bpe._LONG.pattern.replace("{10000,}", "{2,}"))
+        assert bpe.encode(enc, text) == enc.encode_ordinary(text)
+    finally:
+        bpe.RUN, bpe._LONG = long
+
+
+def test_a_page_of_white_space_does_not_end_the_job(frame):
+    docs = frame([(1, "a" + " " * 1_000_000 + "b"), (2, "c d"), (3, " " * 1_000_000)])
+    counted = {r.doc_id: r.n_tokens for r in token_counts.token_counts(docs).collect()}
+    assert counted == {r.doc_id: r.n_tokens for r in token_binary.token_binary(docs).collect()} and counted[1] > 2
