@@ -9,8 +9,9 @@ question's word pairs and of the answer's must be there.  The answer is the item
 its last sentence (none if it has only one).  As that is a guess, an item without a given answer is also found by the question's part of the
 word pairs of the whole item, whatever became of its last sentence.
 
-The documents are read once, without a shuffle.  The index is broadcast: it is as large as the benchmark, whose size is checked; a larger
-benchmark is searched in several parts, one after another.
+Document frequencies and the average length are of all the benchmark's units.  The documents are read without a shuffle.  The postings are broadcast:
+they are as large as the benchmark, whose size is checked; those of a larger benchmark come in several parts, each of which is searched in a
+reading of its own, with the same results.
 """
 
 from __future__ import annotations
@@ -50,19 +51,43 @@ def _pairs(w: list) -> set:
     return set(zip(w, w[1:])) if len(w) > 1 else set((x,) for x in w)
 
 
+def units_of(text: str, answer: str | None) -> list[list[str]]:
+    """The item's words, its answer's last, in units of at most UNIT, as even as can be."""
+    w = words(text) + (words(answer) if answer is not None else [])
+    n = -(-len(w) // UNIT)
+    return [w[j * len(w) // n : (j + 1) * len(w) // n] for j in range(n)]
+
+
+class Statistics:
+    """What BM25 needs of all units: how many there are, their words, and each word's document frequency.  As large as the benchmark's vocabulary."""
+
+    def __init__(self, items):
+        self.n, self.words, self.df = 0, 0, Counter()
+        for _, text, answer in items:
+            for u in units_of(text, answer):
+                self.n += 1
+                self.words += len(u)
+                self.df.update(set(u))
+
+    def idf(self, word: str) -> float:
+        d = self.df[word]
+        return math.log(1 + (self.n - d + 0.5) / (d + 0.5))
+
+
 class Index:
-    def __init__(self, items: list[tuple[int, str, str | None]], whole: bool = False):
-        """whole: items whose answer is only their last sentence are also found by the overlap of the whole item."""
+    def __init__(self, items: list[tuple[int, str, str | None]], whole: bool = False, statistics: Statistics | None = None):
+        """whole: items whose answer is only their last sentence are also found by the overlap of the whole item.  statistics: of a benchmark that items are part of."""
+        statistics = statistics or Statistics(items)
         self.items, units = [], []
         for item, text, answer in items:
             q, a = split_item(text, answer)
-            all_ = words(text) + (a if answer is not None else [])
-            if not all_:
+            own = units_of(text, answer)
+            if not own:
                 continue
-            n = -(-len(all_) // UNIT)
+            all_ = [x for u in own for x in u]
             k = len(self.items)
             self.items.append((item, q, a, len(all_), all_ if whole and answer is None and a else None))
-            units += [(k, all_[j * len(all_) // n : (j + 1) * len(all_) // n]) for j in range(n)]
+            units += [(k, u) for u in own]
         units.sort(key=lambda u: len(u[1]))
         self.units = [k for k, _ in units]
         self.numbers: dict[str, int] = {}
@@ -70,9 +95,8 @@ class Index:
             for x in w:
                 self.numbers.setdefault(x, len(self.numbers))
         tf = [Counter(w) for _, w in units]
-        df = Counter(x for c in tf for x in c)
-        n, avg = len(units), sum(len(w) for _, w in units) / max(1, len(units))
-        idf = {x: math.log(1 + (n - d + 0.5) / (d + 0.5)) for x, d in df.items()}
+        n, avg = len(units), statistics.words / max(1, statistics.n)
+        idf = {x: statistics.idf(x) for x in self.numbers}
         per = max(BLOCK_UNITS, -(-n // MOST_BLOCKS))
         self.blocks = -(-n // per) if n else 0
         self.bound = np.zeros((len(self.numbers) + 1, max(1, self.blocks)), np.float32)  # the last row, all zeros, is for other words
@@ -155,12 +179,16 @@ def _pairs_of_one(q, a, w, start, size) -> set:
     return set((x,) for x in w[max(0, start - size) : start + 2 * UNIT + size]) if len(q) == 1 or len(a) == 1 else set()
 
 
-def _parts(benchmark: DataFrame):
-    """The benchmark's items in parts of PART_WORDS; one part for any usual benchmark."""
+def _items(benchmark: DataFrame) -> DataFrame:
     answer = F.col("answer").cast("string") if "answer" in benchmark.columns else F.lit(None).cast("string")
     b = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"), answer.alias("answer"))
+    return settled(b.where("item_id is not null and text is not null").distinct().orderBy("item_id", "text", "answer"))
+
+
+def _parts(items: DataFrame):
+    """The items in parts of PART_WORDS; one part for any usual benchmark."""
     part, size = [], 0
-    for r in b.where("item_id is not null and text is not null").distinct().orderBy("item_id", "text", "answer").toLocalIterator():
+    for r in items.toLocalIterator():
         part.append((r.item_id, r.text, r.answer))
         size += len(r.text) // 5 + 1
         if size > PART_WORDS:
@@ -179,9 +207,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     """
     spark = docs.sparkSession
     d = texts(docs).where("doc_id is not null and text is not null")
-    out = None
-    for part in _parts(benchmark):
-        index = spark.sparkContext.broadcast(Index(part, whole=True))
+    out, items = None, _items(benchmark)
+    statistics = Statistics(items.toLocalIterator())
+    for part in _parts(items):
+        index = spark.sparkContext.broadcast(Index(part, True, statistics))
 
         def make(index=index):
             ids_of, ix = WordIds(index.value.numbers), index.value
