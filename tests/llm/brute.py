@@ -124,7 +124,7 @@ def contaminated(docs, items, unit, threshold, question, answer, k1=1.2, b=0.75)
     return out
 
 
-def mixed(docs, block_tokens, budget, alpha, seed, shard_tokens, p=2_147_483_647, a=1_103_515_245, c=40_503):
+def mixed(docs, weights, block_tokens, budget, alpha, seed, shard_tokens, p=2_147_483_647, a=1_103_515_245, c=40_503):
     """Ids that are selected, of (doc_id, text, source) rows."""
     place = lambda i, s: (lambda x: (x * x + x * c) % p)((i % p * a + s % p) % p)
     size, src = {}, {}
@@ -137,22 +137,20 @@ def mixed(docs, block_tokens, budget, alpha, seed, shard_tokens, p=2_147_483_647
     total = Counter()
     for i in size:
         total[src[i]] += size[i]
+    free = sum(n**alpha for s, n in total.items() if s not in weights)
+    weight = {s: weights[s] if s in weights else n**alpha * (1 - sum(weights.values())) / free for s, n in total.items()}
     shards = max(1, -(-sum(total.values()) // shard_tokens))
     by = defaultdict(list)
     for i in size:
         by[place(i, seed) % shards, src[i]].append(i)
-    blocks = defaultdict(lambda: defaultdict(list))
-    for (shard, s), ids in by.items():
-        run = 0
-        for i in sorted(ids, key=lambda i: (place(i, seed + 1), i)):
-            blocks[shard, s][run // block_tokens].append(i)
-            run += size[i]
     out = set()
-    for shard in {k[0] for k in blocks}:
-        have = {s: len(x) for (h, s), x in blocks.items() if h == shard}
-        weights = {s: total[s] ** alpha for s in have}
-        quota = sainte_lague(math.ceil(sum(have.values()) * budget), weights, have)
+    for shard in {h for h, _ in by}:
+        have = {s: max(1, math.ceil(sum(size[i] for i in ids) / block_tokens)) for (h, s), ids in by.items() if h == shard}
+        quota = sainte_lague(math.ceil(sum(have.values()) * budget), {s: weight[s] for s in have}, have)
         for s in have:
-            for b in sorted(blocks[shard, s])[: quota[s]]:
-                out.update(blocks[shard, s][b])
+            run = 0
+            for i in sorted(by[shard, s], key=lambda i: (place(i, seed + 1), i)):
+                if min((2 * run + size[i]) // (2 * block_tokens), have[s] - 1) < quota[s]:
+                    out.add(i)
+                run += size[i]
     return out

@@ -21,7 +21,7 @@ def test_run_against_brute_force(spark, sf_dir):
     left = {i: x for i, x in left.items() if group.get(i, i) == i}
     bad = {d for d, _ in brute.contaminated([(i, t) for i, (t, _) in left.items()], items, decontamination.UNIT, decontamination.THRESHOLD, decontamination.QUESTION, decontamination.ANSWER)}
     left = {i: x for i, x in left.items() if i not in bad}
-    chosen = brute.mixed([(i, t, s) for i, (t, s) in left.items()], mixing.BLOCK_TOKENS, mixing.BUDGET, mixing.ALPHA, mixing.SEED, mixing.SHARD_TOKENS)
+    chosen = brute.mixed([(i, t, s) for i, (t, s) in left.items()], mixing.WEIGHTS, mixing.BLOCK_TOKENS, mixing.BUDGET, mixing.ALPHA, mixing.SEED, mixing.SHARD_TOKENS)
     enc = tiktoken.Encoding("test", pat_str=bpe.PATTERN, mergeable_ranks=bpe.load_ranks(f"{bpe.DEFAULT_DIR}/byte_bpe_50k.tiktoken"), special_tokens={})
     rows = corpus_pipeline.run(spark, sf_dir).collect()
     got = {r.doc_id: token_binary.read_tokens(bytes(r.packed), r.block_offsets, r.n_tokens, r.bits).tolist() for r in rows}
