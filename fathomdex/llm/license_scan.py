@@ -1,9 +1,10 @@
 """Licence scan: winnowed fingerprints of templates in an inverted index pick candidates, banded alignment decides.
 
 A template's word K-grams are winnowed: of each WINDOW in a row the least hash stays, so any run of K + WINDOW - 1 of its words that a document
-holds contains a fingerprint.  Every K-gram of every document is looked up.  Hits of one template on near diagonals are one candidate;
-the template is aligned with the words there in a band, and coverage (its matched words) and the span are reported.  Of
-candidates that overlap, the one with the most matched words, then the fewest gaps, stays.
+holds contains a fingerprint.  Every K-gram of every document is looked up.  Hits of one template on near diagonals, at most SPREAD apart, are
+candidates together: the template is aligned with the words there in a band; what is found is reported with coverage (its matched words) and span, then
+its words are masked and the template is aligned again, until nothing more is found, so that a notice that is repeated is found each time.  Of
+candidates that overlap, the one with the most matched words, then the fewest gaps, then the higher coverage, then the first template, stays.
 
 One narrow pass over the texts; the templates and their index are a few kilobytes.
 """
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from .common import WORD, WordIds, map_columns, texts, words
 from .license_templates import TEMPLATES
 
-K, WINDOW, BAND = 4, 3, 8
+K, WINDOW, BAND, SPREAD = 4, 3, 8, 64
 COVERAGE = 0.75
 SCHEMA = "doc_id bigint, license string, template string, coverage double, matched int, start bigint, stop bigint"
 
@@ -70,13 +71,12 @@ class Templates:
             hits.sort()
             group: list[tuple[int, int]] = []
             for h in [*hits, None]:
-                if h is None or group and h[0] - group[-1][0] > BAND:
-                    a = align(self.words[k], ids, group[0][0], group[-1][0])
-                    if a and a[0] / len(self.words[k]) >= coverage:
-                        found.append((k, round(a[0] / len(self.words[k]), 6), *a))
+                if h is None or group and (h[0] - group[-1][0] > BAND or h[0] - group[0][0] > SPREAD):
+                    found += self.candidates(k, group, ids, coverage)
                     group = []
                 if h is not None:
                     group.append(h)
+        found = list(dict.fromkeys(found))  # of groups whose bands overlap
         found.sort(key=lambda x: (-x[2], x[4] - x[3] - x[2], -x[1], x[0]))
         out: list = []
         for f in found:
@@ -85,7 +85,25 @@ class Templates:
         return sorted(out, key=lambda x: x[3])
 
 
-def align(template: list[int], ids: np.ndarray, low: int, high: int) -> tuple[int, int, int] | None:
+    def candidates(self, k: int, group: list[tuple[int, int]], ids: np.ndarray, coverage: float):
+        """Every occurrence of template k around the hits (diagonal, position) of one group."""
+        t = self.words[k]
+        first = max(0, group[0][0] - BAND)
+        words_ = ids[first : group[-1][0] + BAND + len(t) + 1].tolist()
+        while group:
+            a = align(t, words_, group[0][0] - first, group[-1][0] - first)
+            if a is None or a[0] / len(t) < coverage:
+                return
+            yield k, round(a[0] / len(t), 6), a[0], a[1] + first, a[2] + first
+            words_[a[1] : a[2]] = [MASKED] * (a[2] - a[1])
+            group = [h for h in group if not any(x == MASKED for x in words_[h[1] - first : h[1] - first + K])]
+
+
+#: In place of words that an alignment has taken; in no template.
+MASKED = -9
+
+
+def align(template: list[int], ids: list[int], low: int, high: int) -> tuple[int, int, int] | None:
     """Best local alignment of the template with the words on diagonals low - BAND .. high + BAND: (matched words, first, last + 1).
 
     A match is worth 2; a word replaced, left out or put in costs 1.
@@ -121,7 +139,7 @@ def align(template: list[int], ids: np.ndarray, low: int, high: int) -> tuple[in
 def license_scan(docs: DataFrame, templates=TEMPLATES, coverage: float = COVERAGE) -> DataFrame:
     """One row per notice found: doc_id, license, template, coverage, matched (words), start, stop (characters of the text).
 
-    A document may hold several.  Null and empty texts have none; repeated rows report each; a null doc_id is kept as null;
+    A document may hold several, the same one again and again too.  Null and empty texts have none; repeated rows report each; a null doc_id is kept as null;
     extra columns are not read.
     """
     index = docs.sparkSession.sparkContext.broadcast(Templates(templates))

@@ -154,3 +154,41 @@ def mixed(docs, weights, block_tokens, budget, alpha, seed, shard_tokens, p=2_14
                     out.add(i)
                 run += size[i]
     return out
+
+
+def align(template, ids):
+    """(matched, first, last + 1) of the best local alignment over all cells; the first in reading order of equals."""
+    zero = (0, 0, None, None)
+    before, best = [zero] * (len(ids) + 1), zero
+    for x in template:
+        now = [zero]
+        for j, y in enumerate(ids):
+            s = before[j]
+            c = (s[0] + 2, s[1] + 1, j if s[2] is None else s[2], j + 1) if x == y else (s[0] - 1, *s[1:])
+            for other in (before[j + 1], now[j]):
+                if other[0] - 1 > c[0]:
+                    c = (other[0] - 1, *other[1:])
+            now.append(c if c[0] > 0 else zero)
+            if now[-1][0] > best[0]:
+                best = now[-1]
+        before = now
+    return best[1:]
+
+
+def licences(text, templates, coverage):
+    """[(template, matched, first word, last + 1)]: every template against every place, again and again, without an index or a band."""
+    found = []
+    for k, (_, _, t) in enumerate(templates):
+        t, ids = words(t), words(text)
+        while True:
+            n, first, stop = align(t, ids)
+            if n < coverage * len(t) or not n:
+                break
+            found.append((k, n, first, stop, n / len(t)))
+            ids[first:stop] = [None] * (stop - first)
+    found.sort(key=lambda x: (-x[1], x[3] - x[2] - x[1], -x[4], x[0]))
+    out = []
+    for f in found:
+        if all(f[3] <= o[2] or f[2] >= o[3] for o in out):
+            out.append(f)
+    return sorted((f[0], f[1], f[2], f[3]) for f in out)

@@ -1,5 +1,6 @@
 import random
 
+import brute
 import pytest
 
 from fathomdex.llm import license_scan, secret_scan
@@ -68,6 +69,72 @@ def _score(t, ids, found):
     return 0 if found is None else _local(t, ids[found[1] : found[2]])
 
 
+def _licensed(seed, n):
+    """Documents of notices, whole, altered or one after another, and of prose that shares words with them."""
+    r = random.Random(seed)
+    own = sorted({w for _, _, t in TEMPLATES for w in words(t)})
+    short = [t for t in TEMPLATES if len(words(t[2])) < 40]
+    for _ in range(n):
+        parts = []
+        for _ in range(r.randint(0, 5)):
+            _, _, t = r.choice(short)
+            w = t.split()
+            if r.random() < 0.3:
+                w[r.randrange(len(w))] = "zzz"
+            parts += [" ".join(w)] * r.choice((1, 1, 1, 2, 5))
+            if r.random() < 0.6:
+                parts.append(" ".join(r.choice(own) for _ in range(r.randint(1, 30))))
+        yield " ".join(parts)
+
+
+def test_scan_against_every_template_at_every_place(frame):
+    docs = list(enumerate(_licensed(4, 60)))
+    index = license_scan.Templates()
+    ids_of = license_scan.WordIds(index.numbers)
+    want = {i: brute.licences(t, TEMPLATES, license_scan.COVERAGE) for i, t in docs}
+    exact = {i: {x for x in found if x[1] == len(words(TEMPLATES[x[0]][2]))} for i, found in want.items()}
+    got = {i: sorted((k, m, a, b) for k, _, m, a, b in index.scan(ids_of.of(t), license_scan.COVERAGE)) for i, t in docs}
+    assert sum(map(len, want.values())) > 100
+    assert all(exact[i] <= set(got[i]) for i in want)  # whole notices are found wherever they stand
+    grams = lambda w, n: {tuple(w[a : a + n]) for a in range(len(w) - n + 1)}
+    for i, t in docs:
+        for k, _, a, b in {*want[i]} - {*got[i]}:  # nothing is missed but what shares no run with its template that winnowing vouches for
+            n = min(license_scan.K + license_scan.WINDOW - 1, len(words(TEMPLATES[k][2])))
+            assert not grams(words(t)[a:b], n) & grams(words(TEMPLATES[k][2]), n), (i, k)
+        for k, m, a, b in {*got[i]} - {*want[i]}:  # what is there besides is the same notice, cut off elsewhere by its neighbour, or in place of a missed one
+            assert brute.align(words(TEMPLATES[k][2]), words(t)[a:b])[0] == m >= license_scan.COVERAGE * len(words(TEMPLATES[k][2]))
+    assert sum(len({*got[i]} - {*want[i]}) for i in want) <= 0.02 * sum(map(len, want.values()))
+    rows = license_scan.license_scan(frame(docs)).collect()
+    assert sorted((x.doc_id, x.template, x.matched) for x in rows) == sorted((i, TEMPLATES[k][0], m) for i, found in got.items() for k, m, _, _ in found)
+
+
+@pytest.mark.parametrize("times", [1, 2, 3, 5, 40])
+def test_a_repeated_notice_is_found_each_time(frame, times):
+    for _, spdx, text in TEMPLATES:
+        if len(words(text)) <= 12 or times < 4:
+            rows = license_scan.license_scan(frame([(1, "\n".join([text] * times))])).collect()
+            assert [x.license for x in rows] == [spdx] * times, text[:30]
+            assert len({x.start for x in rows}) == times
+
+
+def test_candidates_that_tie(frame):
+    """Two templates with the same words: the first one stays, once."""
+    t = [("one", "A", "alpha beta gamma delta epsilon"), ("two", "B", "alpha beta gamma delta epsilon")]
+    rows = license_scan.license_scan(frame([(1, "x alpha beta gamma delta epsilon y")]), t).collect()
+    assert [(x.template, x.coverage) for x in rows] == [("one", 1.0)]
+
+
+def test_very_long_repetitive_texts_take_linear_time():
+    import time
+
+    _, _, text = max(TEMPLATES, key=lambda t: len(words(t[2])))
+    index = license_scan.Templates()
+    ids = license_scan.WordIds(index.numbers).of(" ".join([text] * 60))
+    began = time.process_time()
+    assert len(index.scan(ids, license_scan.COVERAGE)) == 60
+    assert time.process_time() - began < 60
+
+
 def test_no_licence_in_prose_and_odd_rows(frame, odd_rows):
     assert license_scan.license_scan(frame(odd_rows, clash=True)).count() == 0
     assert license_scan.license_scan(frame([])).count() == 0
