@@ -1,10 +1,11 @@
 """Secret scan by inferred grammars.
 
 For each credential format, the labelled examples make a prefix tree of characters; states whose outgoing frequencies are statistically
-compatible (Hoeffding bound) are merged, red-blue, into a probabilistic automaton.  Every candidate of every text - a run of credential
-characters, and its parts between separators - is scored by each automaton, whatever its length: the mean over its characters of log P(format)
-minus log P of a uniform character.  The threshold of a format lies between its own examples and those of all other labels, and a secret must be
-likelier by its format than as ordinary text: by an automaton of the plain examples, and as a run of digits or of letters of one case.
+compatible (Hoeffding bound) are merged, red-blue, into a probabilistic automaton.  Every candidate of every text - a run of the labelled
+credentials' characters, its parts between separators, a private key's block of lines, a name of a secret key with what is assigned to it - is scored by each
+automaton, whatever its length: the mean over its characters of log P(format) minus log P of a uniform character.  The threshold of a format lies between its own examples and those of all other labels, and a secret must be
+likelier by its format, for all that few candidates are secrets (PRIOR), than as ordinary text: by an automaton of the plain examples, and as a run of
+digits or of letters whose case seldom changes.
 
 The labelled examples are made here from the published shapes of the formats, by a seeded generator; a table of (label, value) rows can be
 given instead.  Training is on the driver, over a bounded sample (SAMPLE per label); the scan is one narrow pass.
@@ -27,14 +28,25 @@ SAMPLE = 200
 ALPHA = 0.05
 #: Probability of what a state never saw.
 UNSEEN = 1e-4
+#: Probability of an end in a state where no example ended.
+UNENDED = 1e-9
 UNIFORM = math.log(1 / 65)
-MIN_CHARS = 16
-CANDIDATE = re.compile(r"[A-Za-z0-9_\-+/.:]{%d,}={0,2}" % MIN_CHARS)
-PART = re.compile(r"[A-Za-z0-9_\-+]{%d,}={0,2}" % MIN_CHARS)
+#: Log odds of a candidate to be a secret before it is looked at.
+PRIOR = math.log(1e-4)
+#: What may stand inside a candidate without being part of a word, beside letters and digits and up to two = at its end; a part is what separators leave.
+JOINED, SEPARATORS = "_-+", "/.:"
+#: A block of lines between BEGIN and END, and a key's name with its value: candidates that white space does not end.
+BLOCK = r"-----BEGIN [A-Z ]+-----[A-Za-z0-9+/=\s]*-----END [A-Z ]+-----"
+ASSIGNED = r"(?i:[a-z_]*secret[a-z_]*key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9/+=]+"
 PLAIN = "plain"
 SCHEMA = "doc_id bigint, start bigint, stop bigint, format string, log_likelihood double, score double, hint string"
 
 
+def kind(value: str) -> str:
+    """Of a candidate or a credential.  A candidate is scored by the formats whose credentials are of its kind."""
+    return "block" if re.fullmatch(BLOCK, value) else "assigned" if re.fullmatch(ASSIGNED, value) else "run"
+
+
 def labelled(seed: int, n: int) -> list[tuple[str, str]]:
     """n examples of each label, plain ones included."""
     r = random.Random(seed)
@@ -48,10 +60,14 @@ def labelled(seed: int, n: int) -> list[tuple[str, str]]:
         return r.choice((
             lambda: word(r.randint(5, 12)), lambda: word(3) + "_" + word(3) + "_" + word(2), lambda: word(2).capitalize() + word(3).capitalize() + word(3).capitalize(), lambda: pick(dig, r.randint(16, 20)),
             lambda: f"{r.randint(1990, 2030)}-{r.randint(10, 12)}-{r.randint(10, 28)}T{r.randint(10, 23)}:{r.randint(10, 59)}:00", lambda: f"www.{word(3)}.example/{word(2)}/{word(2)}", lambda: "=" * 0 + "-" * r.randint(16, 60), lambda: word(4).upper() + word(4).upper(),
+            lambda: r.choice(("secret", "access", "api", "private", "aws_secret", "aws_secret_access", "client", word(1))) + r.choice("_-") + r.choice(("key", "token", "id", "path", "name", word(2))),
             lambda: f"https://{word(2)}.example.com/{word(3)}/{r.randint(1, 9999)}",
         ))()
 
     make = {
+        "aws_secret_key": lambda: r.choice(("aws_secret_access_key", "AWS_SECRET_ACCESS_KEY", "aws_secret_key", "secret_access_key", "secret_key", "SecretAccessKey", "secretKey")) + r.choice(("=", " = ", ": ", '": "', "='", '="')) + pick(low + up + dig + "/+", 40),
+        "private_key": lambda: (lambda kind: f"-----BEGIN {kind}PRIVATE KEY-----\n" + "\n".join(pick(low + up + dig + "+/", 64) for _ in range(r.randint(1, 6))) + "\n" + pick(low + up + dig + "+/", r.randint(4, 60)) + r.choice(("", "=", "==")) + f"\n-----END {kind}PRIVATE KEY-----")(r.choice(("RSA ", "EC ", "DSA ", "OPENSSH ", "ENCRYPTED ", ""))),
+        "github_pat": lambda: "github_pat_" + pick(low + up + dig, 22) + "_" + pick(low + up + dig, 59),
         "aws_access_key": lambda: r.choice(("AKIA", "ASIA")) + pick(up + "234567", 16),
         "github_token": lambda: r.choice(("ghp_", "gho_", "ghs_")) + pick(low + up + dig, 36),
         "slack_token": lambda: r.choice(("xoxb-", "xoxp-")) + pick(dig, r.randint(10, 13)) + "-" + pick(dig, r.randint(10, 13)) + "-" + pick(low + up + dig, 24),
@@ -141,7 +157,7 @@ class Automaton:
         number = {q: k for k, q in enumerate(red)}
         log = math.log
         self.steps = [{c: (number[self.next[q][c]], log(n / self.total[q])) for c, n in self.through[q].items()} for q in red]
-        self.stops = [log(max(self.ends[q] / self.total[q], UNSEEN)) for q in red]
+        self.stops = [log(max(self.ends[q] / self.total[q], UNENDED)) for q in red]
         del self.next, self.through, self.ends, self.total
         return self
 
@@ -169,6 +185,7 @@ class Formats:
             if value and len(own) < 2 * SAMPLE:
                 own.append(value)
         self.automata: dict[str, tuple[Automaton, float]] = {}
+        self.kinds = {label: max(("run", "assigned", "block"), key=[kind(v) for v in values].count) for label, values in by.items()}
         for label, values in by.items():
             if label == PLAIN or not values:
                 continue
@@ -178,24 +195,42 @@ class Formats:
             worst = own[len(own) // 100]
             other = max([s for s in others if s < worst], default=worst - 2)
             self.automata[label] = (a, (worst + max(other, worst - 2)) / 2)
+        self.patterns(v for label, values in by.items() if label != PLAIN for v in values)
         self.plain = Automaton(by[PLAIN][:SAMPLE]).infer() if by.get(PLAIN) else None
         self.known: dict[str, tuple | None] = {}
 
+    def patterns(self, credentials) -> None:
+        """Candidates are runs of the characters of the labelled credentials, from half the length of the shortest one on."""
+        chars, shortest = set(string.ascii_letters + string.digits + JOINED), 16
+        for v in credentials:
+            if kind(v) == "run" and not re.search(r"\s", v):
+                chars.update(v.rstrip("="))
+                shortest = min(shortest, len(v))
+        one_of = lambda x: "[" + "".join(map(re.escape, sorted(x))) + "]"
+        least = max(4, shortest // 2)
+        self.candidate = re.compile(rf"{BLOCK}|{ASSIGNED}|{one_of(chars | {*SEPARATORS})}{{{least},}}={{0,2}}")
+        self.part = re.compile(rf"{one_of(chars - {*SEPARATORS})}{{{least},}}={{0,2}}")
+
     def ordinary(self, value: str) -> float:
-        """Log-likelihood of what is no secret: by the plain examples, or as a run of digits or of letters of one case."""
-        run = 10 if value.isdigit() else 26 if value.isalpha() and (value.islower() or value.isupper()) else 0
-        return max(self.plain.log_p(value) if self.plain else -math.inf, UNIFORM - len(value) * math.log(run) if run else -math.inf)
+        """Log-likelihood of what is no secret: by the plain examples, or as a run of digits or of letters whose case seldom changes."""
+        out = self.plain.log_p(value) if self.plain else -math.inf
+        if value.isdigit():
+            out = max(out, UNIFORM - len(value) * math.log(10))
+        elif value.isalpha():
+            changes = sum(a.isupper() != b.isupper() for a, b in zip(value, value[1:]))
+            out = max(out, UNIFORM - len(value) * math.log(26) - changes * math.log(6))
+        return out
 
     def best(self, value: str) -> tuple[str, float, float] | None:
         """(format, log-likelihood, score) of the likeliest format that accepts the value, if it is likelier than plain text."""
         if value in self.known:
             return self.known[value]
-        out = None
+        out, own = None, kind(value)
         for label, (a, least) in self.automata.items():
-            s = a.score(value)
+            s = a.score(value) if self.kinds[label] == own else -math.inf
             if s >= least and (out is None or s > out[2]):
                 out = (label, a.log_p(value), s)
-        if out and self.ordinary(value) >= out[1]:
+        if out and self.ordinary(value) >= out[1] + PRIOR:
             out = None
         if len(value) <= 64:
             if len(self.known) > CACHE:
@@ -205,13 +240,13 @@ class Formats:
 
     def scan(self, text: str):
         """(start, stop, format, log-likelihood, score) of each secret; a run that is none is looked at part by part."""
-        for m in CANDIDATE.finditer(text):
+        for m in self.candidate.finditer(text):
             run = m.group().rstrip(".:/")
             hit = self.best(run)
             if hit:
                 yield m.start(), m.start() + len(run), *hit
             elif not run.isalpha():
-                for p in PART.finditer(run):
+                for p in self.part.finditer(run):
                     if p.group() != run and (hit := self.best(p.group())):
                         yield m.start() + p.start(), m.start() + p.end(), *hit
 

@@ -192,3 +192,55 @@ def licences(text, templates, coverage):
         if all(f[3] <= o[2] or f[2] >= o[3] for o in out):
             out.append(f)
     return sorted((f[0], f[1], f[2], f[3]) for f in out)
+
+
+def secrets(formats, text, least):
+    """[(start, stop, format)] of candidates found character by character; likelihoods as products of an automaton's probabilities, one state after another."""
+    inside = set("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_-+")
+
+    def log_p(a, value):
+        q, p = 0, 0.0
+        for c in value:
+            if c in a.steps[q]:
+                q, x = a.steps[q][c]
+            else:
+                x = math.log(1e-4)
+            p += x
+        return p + a.stops[q]
+
+    def verdict(value):
+        found = None
+        for label, (a, threshold) in formats.automata.items():
+            s = log_p(a, value) / (len(value) + 1) + math.log(65)
+            if formats.kinds[label] == "run" and s >= threshold and (found is None or s > found[1]):
+                found = (label, s, log_p(a, value))
+        if found:
+            plain = log_p(formats.plain, value)
+            if value.isdigit():
+                plain = max(plain, -math.log(65) - len(value) * math.log(10))
+            if value.isalpha():
+                plain = max(plain, -math.log(65) - len(value) * math.log(26) - math.log(6) * sum(x.isupper() != y.isupper() for x, y in zip(value, value[1:])))
+            if plain >= found[2] + math.log(1e-4):
+                found = None
+        return found and found[0]
+
+    def runs(s, allowed):
+        k = 0
+        while k < len(s):
+            e = k
+            while e < len(s) and s[e] in allowed:
+                e += 1
+            if e - k >= least:
+                yield k, s[k:e] + "=" * (s[e : e + 2] + "x").index("".join(x for x in s[e : e + 2] + "x" if x != "=")[:1])
+            k = max(e, k + 1)
+
+    out = []
+    for at, run in runs(text, inside | set("/.:")):
+        run = run.rstrip("/.:")
+        if label := verdict(run):
+            out.append((at, at + len(run), label))
+            continue
+        for k, part in runs(run, inside) if not run.isalpha() else ():
+            if part != run and (label := verdict(part)):
+                out.append((at + k, at + k + len(part), label))
+    return out
