@@ -4,14 +4,14 @@ Every rule is evaluated once per document: its bit in `failed` and its measureme
 masks over the same ledger, so a new policy or an ablation reads a few numbers a row and never the text.
 
 One narrow pass of built-in expressions; the ledger's aggregates combine on the map side.  One measurement counts words with stems that are typical
-of documents labelled toxic; the stems are learned first, from a sample of at most SAMPLE labelled documents of each class.
+of documents labelled toxic; the stems are learned first, from a sample of at most SAMPLE labelled documents of each class, and no list of words is given.
 """
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import settled, unused
@@ -25,19 +25,18 @@ def _counted(pattern: str) -> tuple[str, str]:
     return _S % pattern.replace("\\", "\\\\"), _D % pattern
 
 
+#: Both dialects count the same; Java's expressions go back over what they matched, so there a chunk is entered at its start only, and once.
+_START = r"(?<![^ \n\t\r])"
 MEASURES = {
     "n_chars": ("length({t})", "length({t})"),
     "n_words": _counted(r"[^ \n\t\r]+"),
     "n_letters": _counted(r"\p{L}"),
     "n_marked": _counted(r"[#$%&*|~^<>=_{}@]+"),
-    "n_shouted": _counted(r"[^ \n\t\r]+!!"),
+    "n_shouted": (_counted(_START + r"[^ \n\t\r]+?!!")[0], _counted(r"[^ \n\t\r]+!!")[1]),
     "n_upper": _counted(r"\p{Lu}"),
-    "n_alone": _counted(r"[^ \n\t\r]*\p{L}[^ \n\t\r]*"),
+    "n_alone": (_counted(_START + r"[^ \n\t\r\p{L}]*+\p{L}")[0], _counted(r"[^ \n\t\r]*\p{L}[^ \n\t\r]*")[1]),
 }
-#: Measurements over the list of words {w}, in order: words equal to the one before, and insults.
-INSULTS = ("clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless")
-_INSULT = r"\b(?:" + "|".join(INSULTS) + r")\b"
-MEASURES["n_insults"] = ("regexp_count(lower({t}), '%s')" % _INSULT.replace("\\", "\\\\"), "len(regexp_extract_all(lower({t}), '%s'))" % _INSULT)
+#: A measurement over the list of words: those equal to the one before.
 _WORDS_S, _WORDS_D = "filter(split({t}, '[ \\n\\t\\r]+', -1), x -> x != '')", "list_filter(regexp_split_to_array({t}, '[ \\n\\t\\r]+'), lambda x: x <> '')"
 MEASURES["n_repeated"] = (
     "coalesce(aggregate(" + _WORDS_S + ", struct(0 as n, '' as p), (a, x) -> struct(a.n + int(x = a.p) as n, x as p), a -> a.n), 0)",
@@ -61,7 +60,6 @@ RULES = (
     ("repeated_words", "n_words >= 8 and 4 * n_repeated > n_words"),
     ("wordless_chunks", "n_words >= 20 and 10 * (n_words - n_alone) > 3 * n_words"),
     ("long_words", "n_words > 0 and n_letters > 25 * n_words"),
-    ("insults", "n_insults >= 2"),
     ("toxic_stems", "n_stems >= 2"),
     ("null_text", "text_is_null"),
 )
@@ -77,8 +75,9 @@ CURRENT = "v2_all"
 def learn_stems(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[str]:
     """Stems typical of toxic documents, in order; those that begin with another are left out.
 
-    labels: doc_id, toxic; rows with nulls are not used, and a doc_id with several labels is toxic if any says so.  Of documents with the same longest
-    word, which copies have, one of each class counts.  Lower-cased beginnings of words are counted once a document.
+    labels: doc_id, toxic; rows with nulls are not used, and a doc_id with several labels is toxic if any says so.  All labelled documents of the
+    sample are read; what is counted of a lower-cased beginning of words is in how many of them it is whose longest words differ, as copies and near
+    copies have the same and are no further evidence.
     """
     place = F.pmod(F.pmod("doc_id", F.lit(P)) * A + SEED, F.lit(P))
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropna().groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -86,12 +85,12 @@ def learn_stems(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> lis
     chosen = F.broadcast(chosen[0].union(chosen[1]))  # at most 2 * sample rows
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(chosen, "doc_id")
     words = F.regexp_extract_all(F.lower("text"), F.lit(_WORD), F.lit(0))
-    d = d.select("doc_id", "toxic", words.alias("w")).withColumn("longest", F.array_max(F.transform("w", lambda x: F.struct(F.length(x), x))))
-    d = d.withColumn("k", F.row_number().over(Window.partitionBy("toxic", "longest").orderBy(F.size("w"), "doc_id", "w"))).where("k = 1 and longest is not null")
+    d = d.select("toxic", words.alias("w")).where(F.size("w") > 0).withColumn("longest", F.array_max(F.transform("w", lambda x: F.struct(F.length(x), x))))
     starts = F.flatten(F.transform(F.filter("w", lambda x: F.length(x) >= STEM_MIN), lambda x: F.transform(F.sequence(F.lit(STEM_MIN), F.least(F.length(x), F.lit(STEM_MAX))), lambda k: F.substring(x, F.lit(1), k))))
-    d = settled(d.select("toxic", F.array_distinct(starts).alias("starts")))
-    n = d.agg(F.count_if(F.col("toxic") == 1).alias("t"), F.count_if(F.col("toxic") == 0).alias("n")).first()
-    found = d.select("toxic", F.explode("starts").alias("stem")).groupBy("stem").agg(F.count_if(F.col("toxic") == 1).alias("t"), F.count_if(F.col("toxic") == 0).alias("n"))
+    d = settled(d.select(*(F.when(F.col("toxic") == t, F.col("longest")).alias(c) for c, t in (("t", 1), ("n", 0))), F.array_distinct(starts).alias("starts")))
+    both = [F.count_distinct(c).alias(c) for c in ("t", "n")]
+    n = d.agg(*both).first()
+    found = d.select("t", "n", F.explode("starts").alias("stem")).groupBy("stem").agg(*both)
     found = found.where((F.col("t") >= 3) & (F.col("t") * SUPPORT >= n["t"]) & ((2 * F.col("t") + 1) * (n["n"] + 1) >= LIFT * (2 * F.col("n") + 1) * (n["t"] + 1)))
     every = {r.stem for r in found.select("stem").collect()}  # as many as the bounded sample's common stems
     return sorted(x for x in every if not any(x[:k] in every for k in range(STEM_MIN, len(x))))
@@ -173,11 +172,11 @@ def keep(docs: DataFrame, labels: DataFrame | None = None, policy: int = POLICIE
 _STEMS_SQL = f"""
 known AS (SELECT doc_id, max(toxic) AS toxic FROM labels WHERE doc_id IS NOT NULL AND toxic IS NOT NULL GROUP BY 1),
 chosen AS (SELECT doc_id, toxic FROM known WHERE toxic IN (0, 1) QUALIFY row_number() OVER (PARTITION BY toxic ORDER BY ((doc_id % {P} + {P}) % {P} * {A} + {SEED}) % {P}, doc_id) <= {SAMPLE}),
-sampled AS (SELECT doc_id, toxic, regexp_extract_all(lower(text), '{_WORD}') AS w FROM documents JOIN chosen USING (doc_id)),
-apart AS (SELECT toxic, w FROM sampled WHERE len(w) > 0 QUALIFY row_number() OVER (PARTITION BY toxic, list_max(list_transform(w, lambda x: {{'n': length(x), 'x': x}})) ORDER BY len(w), doc_id, w) = 1),
-classes AS (SELECT count(*) FILTER (toxic = 1) AS t, count(*) FILTER (toxic = 0) AS n FROM apart),
-starts AS (SELECT toxic, unnest(list_distinct(flatten(list_transform(list_filter(w, lambda x: length(x) >= {STEM_MIN}), lambda x: list_transform(range({STEM_MIN}, least(length(x), {STEM_MAX}) + 1), lambda k: left(x, k)))))) AS stem FROM apart),
-counted AS (SELECT stem, count(*) FILTER (toxic = 1) AS t, count(*) FILTER (toxic = 0) AS n FROM starts GROUP BY stem),
+sampled AS (SELECT toxic, regexp_extract_all(lower(text), '{_WORD}') AS w FROM documents JOIN chosen USING (doc_id)),
+apart AS (SELECT toxic, w, list_max(list_transform(w, lambda x: {{'n': length(x), 'x': x}})) AS longest FROM sampled WHERE len(w) > 0),
+classes AS (SELECT count(DISTINCT longest) FILTER (toxic = 1) AS t, count(DISTINCT longest) FILTER (toxic = 0) AS n FROM apart),
+starts AS (SELECT toxic, longest, unnest(list_distinct(flatten(list_transform(list_filter(w, lambda x: length(x) >= {STEM_MIN}), lambda x: list_transform(range({STEM_MIN}, least(length(x), {STEM_MAX}) + 1), lambda k: left(x, k)))))) AS stem FROM apart),
+counted AS (SELECT stem, count(DISTINCT longest) FILTER (toxic = 1) AS t, count(DISTINCT longest) FILTER (toxic = 0) AS n FROM starts GROUP BY stem),
 stems AS (SELECT stem FROM counted c, classes k WHERE c.t >= 3 AND c.t * {SUPPORT} >= k.t AND (2 * c.t + 1) * (k.n + 1) >= {LIFT} * (2 * c.n + 1) * (k.t + 1)),
 rows AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
 spelt AS (SELECT r, unnest(regexp_extract_all(lower(text), '{_WORD}')) AS w FROM rows),
