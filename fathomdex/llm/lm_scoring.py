@@ -4,12 +4,16 @@ A word is the white-space-delimited chunk with the vocabulary's word mark before
 vocabulary is a path through its lattice; the path's weight is the product of its pieces' probabilities, and the forward
 recursion, in log space, adds up all paths.  No piece crosses a word, so a document's probability is the product of its words'.
 
-The pieces' existing scores are merge ranks; they become prior probabilities by Zipf's law (ZIPF below).  One round of
-expected counts over all documents (forward-backward on each distinct fragment, weighted by its count) turns the prior into
-the model: p = (expected count + PRIOR * prior) / (total + PRIOR).
+The pieces' existing scores are merge ranks, as the model file has them; Zipf's law turns a rank into a probability, 1 / (rank + ZIPF) over the sum of all.
+A row's probability depends on its text alone.  Weights can also be trained on a table of one's own (train: one round of expected counts) and given
+to score.
 
-Cost: one pass that counts fragments (combined per task, then shuffled by fragment: it grows with the corpus' distinct fragments), the
-expected counts (at most one row per piece and task), and one narrow scoring pass.  The driver holds one number per piece.
+How likely a text is compared with all others is what the corpus is asked for: corpus_rank is the share of all scored rows that have fewer bits a character.
+It is exact: rows are counted by value (combined per task, so that copies cost one row), the distinct values are sorted by ranges, each range
+summed up for itself, and the sums of the ranges before it added.
+
+Cost: one narrow scoring pass; (value, rows) shuffled by value, then by range; scores joined with their ranks by value, never texts.  The driver holds one
+number a piece and one a range.
 """
 
 from __future__ import annotations
@@ -17,11 +21,11 @@ from __future__ import annotations
 import math
 from collections import Counter
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import CACHE, map_columns, texts
+from .common import CACHE, map_columns, settled, texts
 
 MARK = "▁"
 #: Added to a piece's rank before it becomes a weight, 1 / (rank + ZIPF).
@@ -29,6 +33,8 @@ ZIPF = 2.7
 #: Pieces' worth of the prior beside the corpus counts.
 PRIOR = 100_000.0
 SCHEMA = "doc_id bigint, n_words bigint, n_chars bigint, log_prob double, bits_per_char double"
+#: Bytes up to which the distinct scores with their ranks are sent to all executors; beyond, both sides are shuffled.
+BROADCAST_BYTES = 16 << 20
 
 
 def load_pieces(path: str) -> dict[str, float]:
@@ -229,10 +235,31 @@ def score(docs: DataFrame, log_p: dict[str, float]) -> DataFrame:
     return map_columns(texts(docs), make, SCHEMA)
 
 
-def lm_scores(docs: DataFrame, vocabulary: str = f"{bpe.DEFAULT_DIR}/piece_bpe_32k.model", prior: float = PRIOR) -> DataFrame:
-    """Trains on all of docs and scores each row: doc_id, n_words, n_chars (with one mark per word), log_prob (natural), bits_per_char.
-
-    A null text has nulls; one without words has log_prob 0 and null bits_per_char.  Repeated rows count and score one by one; a null doc_id
-    stays null; runs of white space count as one; extra columns are not read.  An empty table scores to an empty table.
+def with_rank(scores: DataFrame, value: str = "bits_per_char", name: str = "corpus_rank") -> DataFrame:
+    """scores, settled already, and the share of all rows with a value that have a lesser one; null where there is no value."""
+    spark = scores.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    counted = scores.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n"))
+    ranges = settled(counted.repartitionByRange(parts, "v").select("v", "n", F.spark_partition_id().alias("part")))
+    sums = {r.part: (r.n, r.k) for r in ranges.groupBy("part").agg(F.sum("n").alias("n"), F.count("*").alias("k")).collect()}  # a row a range
+    total, before = 0, []
+    for part in sorted(sums):
+        before.append((part, total))
+        total += sums[part][0]
+    if not total:
+        return scores.withColumn(name, F.lit(None).cast("double"))
+    ranges = ranges.join(F.broadcast(spark.createDataFrame(before, "part int, start bigint")), "part")  # a row a range
+    running = Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    ranks = ranges.select(F.col("v").alias("__v"), ((F.col("start") + F.coalesce(F.sum("n").over(running), F.lit(0))) / total).alias(name))
+    small = 24 * sum(k for _, k in sums.values()) <= BROADCAST_BYTES
+    return scores.join(F.broadcast(ranks) if small else ranks, scores[value] == ranks["__v"], "left").drop("__v")
+
+
+def lm_scores(docs: DataFrame, vocabulary: str = f"{bpe.DEFAULT_DIR}/piece_bpe_32k.model") -> DataFrame:
+    """Scores each row by the vocabulary's own weights: doc_id, n_words, n_chars (with one mark per word), log_prob (natural), bits_per_char, corpus_rank.
+
+    A null text has nulls; one without words has log_prob 0 and null bits_per_char and corpus_rank.  Repeated rows are scored and count one by one, equal
+    scores have equal ranks; a null doc_id stays null; runs of white space count as one; extra columns are not read.  An empty table scores to an
+    empty table.
     """
-    return score(docs, train(docs, load_pieces(vocabulary), prior))
+    return with_rank(settled(score(docs, load_pieces(vocabulary))))

@@ -244,3 +244,25 @@ def secrets(formats, text, least):
             if part != run and (label := verdict(part)):
                 out.append((at + k, at + k + len(part), label))
     return out
+
+
+def document_log_prob(log_p, text, longest):
+    """Of the whole text, by sums of probabilities of all beginnings, scaled; without a trie, fragments, caches or logarithms of sums."""
+    total = 0.0
+    for w in text.split():
+        w = "\u2581" + w
+        a, shift = [1.0] + [0.0] * len(w), 0.0
+        for j in range(1, len(w) + 1):
+            alone = w[j - 1] in log_p
+            for i in range(max(0, j - longest), j):
+                if w[i:j] in log_p:
+                    a[j] += a[i] * math.exp(log_p[w[i:j]])
+                elif i == j - 1 and not alone:
+                    a[j] += a[i] * math.exp(sum(log_p.get(f"<0x{b:02X}>", -40.0) for b in w[i].encode("utf-8", "replace")))
+            if a[j] < 1e-200:
+                scale = 1 / a[j]
+                for k in range(max(0, j - longest), j + 1):
+                    a[k] *= scale
+                shift -= math.log(scale)
+        total += math.log(a[len(w)]) + shift
+    return total

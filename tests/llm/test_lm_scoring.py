@@ -38,21 +38,40 @@ def test_scores_of_odd_rows(frame, odd_rows):
     assert by[2][0].log_prob == 0 and by[2][0].bits_per_char is None
     assert by[5][0] == by[5][1]
     assert by[4][0].log_prob < -100_000
-    assert lm_scoring.lm_scores(frame([])).count() == 0
+    assert lm_scoring.lm_scores(frame([])).count() == 0 == lm_scoring.lm_scores(frame([(1, None)])).where('corpus_rank is not null').count()
 
 
 def test_query_against_plain_sums(spark, sf_dir):
-    """The query's scores are those of its own model, summed over all segmentations of each word, for the shorter words."""
+    """Scores of all whole documents by the vocabulary's own weights, and each one's rank among all."""
     from fathomdex.llm.registry import queries
 
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    model = lm_scoring.train(docs, lm_scoring.load_pieces(f"{bpe.DEFAULT_DIR}/piece_bpe_32k.model"))
+    model = lm_scoring.load_pieces(f"{bpe.DEFAULT_DIR}/piece_bpe_32k.model")
     assert math.isclose(sum(map(math.exp, model.values())), 1, rel_tol=1e-6)
-    texts = {r.doc_id: r.text for r in docs.collect()}
-    short = [r for r in queries()["op2_lm_scores"](spark, sf_dir).collect() if len(texts[r.doc_id].split()) < 40 and max(map(len, texts[r.doc_id].split())) < 13]
-    assert short
-    for r in short:
-        assert math.isclose(r.log_prob, sum(brute.log_prob(model, "▁" + w) for w in texts[r.doc_id].split()), rel_tol=1e-6)
+    longest = max(map(len, model))
+    rows = queries()["op2_lm_scores"](spark, sf_dir).collect()
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert math.isclose(r.log_prob, brute.document_log_prob(model, texts[r.doc_id], longest), rel_tol=1e-9, abs_tol=1e-9)
+    values = sorted(r.bits_per_char for r in rows if r.bits_per_char is not None)
+    assert all((r.corpus_rank is None) == (r.bits_per_char is None) for r in rows)
+    for r in rows:
+        if r.bits_per_char is not None:
+            assert math.isclose(r.corpus_rank, sum(v < r.bits_per_char for v in values) / len(values), abs_tol=1e-12)
+
+
+def test_a_score_depends_on_its_text_alone(frame):
+    one = lm_scoring.lm_scores(frame([(1, "some words of prose")])).first()
+    many = lm_scoring.lm_scores(frame([(k, "zorb quaxil vlim") for k in range(50)] + [(99, "some words of prose")])).where("doc_id = 99").first()
+    assert one.log_prob == many.log_prob
+
+
+def test_ranks_of_repeated_rows_and_ties(frame):
+    rows = lm_scoring.lm_scores(frame([(k, "the same text") for k in range(60)] + [(100 + k, "xq" * (k + 1)) for k in range(40)] + [(300, None), (301, "")])).collect()
+    values = [r.bits_per_char for r in rows if r.bits_per_char is not None]
+    assert len({r.corpus_rank for r in rows if r.doc_id < 60}) == 1
+    for r in rows:
+        assert r.corpus_rank is None if r.bits_per_char is None else math.isclose(r.corpus_rank, sum(v < r.bits_per_char for v in values) / 100)
 
 
 def test_training_makes_the_corpus_likelier(frame):
