@@ -1,7 +1,8 @@
 """Near-exact deduplication of lines over the whole corpus, by a deletion-neighbourhood join with edit bound 1.
 
 Lines are compared without the spaces, tabs and carriage returns at their ends.  A line occurrence goes if an earlier one (by doc_id,
-then line number) has the same string, or one within one insertion, deletion or substitution; the earliest stays.
+then line number) has the same string, whatever its length, or, from NEAR_CHARS characters on, one within one insertion, deletion or substitution;
+the earliest stays.  Empty lines stay.
 
 1.  Equal lines meet by a 128-bit hash; the first occurrence stands for the string.
 2.  Two strings one edit apart agree outside the block that holds the edit, when the shorter is cut into BLOCKS equal blocks.  So each
@@ -12,6 +13,9 @@ then line number) has the same string, or one within one insertion, deletion or
     All strings of one substitution variant are one edit apart, so the earliest is the only partner that counts, and an
     insertion variant has one shorter string: the join is linear however many copies there are.
 4.  Each joined pair's edit distance is verified on the strings themselves, and later ones go.
+
+Keys and variants are never gathered in groups: the least and greatest holder of each are aggregated, combined before they are shuffled, and joined
+back to the holders, so that a key of a third of all lines is a skewed join, which is split, and not one task.
 """
 
 from __future__ import annotations
@@ -22,16 +26,16 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_long, distinct, map_columns, mix, settled, texts
 
 BLOCKS = 4
-#: Shorter lines are never removed: one edit makes another word of them.
-MIN_CHARS = 20
-#: Rows up to which the smaller side of a join is sent to all executors; beyond, both sides are shuffled.
-BROADCAST_ROWS = 1_000_000
+#: Length from which on lines one edit apart are the same: one edit makes another word, or another number, of a shorter one.
+NEAR_CHARS = 20
+#: Bytes up to which the smaller side of a join is sent to all executors; beyond, both sides are shuffled.
+BROADCAST_BYTES = 32 << 20
 _ENDS = " \t\r"
 _h = xxhash.xxh3_64_intdigest
 
@@ -93,12 +97,13 @@ def one_edit(a: str, b: str) -> bool:
     return a[lo + (len(a) == len(b)) :] == b[lo + 1 :]
 
 
-def joined(big: DataFrame, small: DataFrame, on: str, how: str) -> DataFrame:
-    """big joined with small, which is settled already: broadcast if its counted rows are few, else shuffled."""
-    return big.join(F.broadcast(small) if small.count() <= BROADCAST_ROWS else small, on, how)
+def joined(big: DataFrame, small: DataFrame, on, how: str, per_row: int, per_element: str | None = None) -> DataFrame:
+    """big joined with small, which is settled already: broadcast if its bytes, so many a row and those of an array column's elements, are few, else shuffled."""
+    size = small.agg((F.count("*") * per_row + F.coalesce(F.sum(F.expr(per_element)) if per_element else F.lit(0), F.lit(0))).alias("n")).first()["n"]
+    return big.join(F.broadcast(small) if size <= BROADCAST_BYTES else small, on, how)
 
 
-def duplicate_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def duplicate_lines(docs: DataFrame, near_chars: int = NEAR_CHARS) -> DataFrame:
     """(doc_id, line_no, kept_doc_id, kept_line_no, distance) of each occurrence that goes.
 
     A repeated string's partner is its first occurrence; a first occurrence's is its earliest neighbour."""
@@ -110,13 +115,13 @@ def duplicate_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 for k, line in enumerate(t.split("\n")):
                     s = line.strip(_ENDS)
-                    if len(s) >= min_chars:
+                    if s:
                         ids.append(i)
                         nos.append(k)
                         x = xxhash.xxh3_128_intdigest(s)
                         a.append(_signed(x >> 64))
                         c.append(_signed(x & (1 << 64) - 1))
-                        keys.append(_block_keys(s) if with_keys else None)
+                        keys.append(_block_keys(s) if with_keys and len(s) >= near_chars else None)
             yield {"doc_id": ids, "line_no": nos, "h1": a, "h2": c, "keys": keys}
 
         return batch
@@ -127,12 +132,11 @@ def duplicate_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     # a second reading of the text joins the repeats to their first: a line with very many copies is a skewed join, which is split, not one huge group
     same = bare.select("h1", "h2", at.alias("at")).join(first.where("n > 1").select("h1", "h2", "first"), ["h1", "h2"]).where("at != first").select("at", "first", F.lit(0).alias("distance"))
 
-    w = Window.partitionBy("slot_key")
+    # a string's first 64 bits are its name here
+    keyed = first.where("keys is not null").select("h1", "first", F.posexplode("keys").alias("slot", "slot_key"))
+    shared_keys = settled(keyed.groupBy("slot_key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo != hi").select("slot_key"))
     shared = (
-        first.select("h1", "h2", "first", F.posexplode("keys").alias("slot", "slot_key"))
-        .withColumn("slot_key", F.struct("slot_key", (F.col("slot") % BLOCKS).alias("j")))
-        .withColumns({"lo": F.min(F.struct("h1", "h2")).over(w), "hi": F.max(F.struct("h1", "h2")).over(w)})
-        .where("lo != hi")
+        joined(keyed, shared_keys, "slot_key", "left_semi", 16)
         .groupBy("first").agg(F.collect_set("slot").alias("slots"))
         .groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list(F.struct(F.col("first.line_no").alias("line_no"), "slots")).alias("wanted"))
     )
@@ -159,20 +163,18 @@ def duplicate_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
         return batch
 
-    d2 = joined(d, wanted, "doc_id", "inner").select("doc_id", "text", "wanted")
-    variants = map_columns(d2, spread, "doc_id bigint, line_no int, variant bigint, whole boolean")
-    v = Window.partitionBy("variant")
+    d2 = joined(d, wanted, "doc_id", "inner", 64, "aggregate(wanted, 0, (a, x) -> a + 32 + 8 * size(x.slots))").select("doc_id", "text", "wanted")
+    variants = settled(map_columns(d2, spread, "doc_id bigint, line_no int, variant bigint, whole boolean"))
+    holders = variants.groupBy("variant").agg(F.min(at).alias("least"), F.max(at).alias("most"), F.min(F.when(F.col("whole"), at)).alias("shorter")).where("least != most")
+    partner = F.coalesce("shorter", "least")
     near = (
-        variants.select(at.alias("at"), "variant", "whole")
-        .withColumns({"shorter": F.min(F.when(F.col("whole"), F.col("at"))).over(v), "least": F.min("at").over(v)})
-        .where("(shorter is null and at != least) or (shorter is not null and at != shorter)")
-        .select(F.when(F.col("shorter").isNull(), F.col("least")).otherwise(F.least("shorter", "at")).alias("a"), F.when(F.col("shorter").isNull(), F.col("at")).otherwise(F.greatest("shorter", "at")).alias("b"))
-        .distinct()
-    )
+        joined(variants.select(at.alias("at"), "variant"), settled(holders.select("variant", partner.alias("partner"))), "variant", "inner", 48)
+        .where("at != partner").select(F.least("partner", "at").alias("a"), F.greatest("partner", "at").alias("b")).distinct()
+    )
     near = settled(near)
     # verification: the two strings, from their documents
     ends = near.select(F.explode(F.array("a", "b")).alias("at")).distinct().groupBy(F.col("at.doc_id").alias("doc_id")).agg(F.collect_set("at.line_no").alias("nos"))
-    strings = joined(d, settled(ends), "doc_id", "inner").select("doc_id", F.explode("nos").alias("line_no"), "text").select(F.struct("doc_id", "line_no").alias("at"), F.trim(F.get(F.split("text", "\n", -1), F.col("line_no")), F.lit(_ENDS)).alias("s")).groupBy("at").agg(F.min("s").alias("s"))
+    strings = joined(d, settled(ends), "doc_id", "inner", 64, "4 * size(nos)").select("doc_id", F.explode("nos").alias("line_no"), "text").select(F.struct("doc_id", "line_no").alias("at"), F.trim(F.get(F.split("text", "\n", -1), F.col("line_no")), F.lit(_ENDS)).alias("s")).groupBy("at").agg(F.min("s").alias("s"))
     strings = settled(strings)
 
     def verify():
@@ -189,18 +191,18 @@ def duplicate_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return gone.select("at.doc_id", "at.line_no", F.col("k.first.doc_id").alias("kept_doc_id"), F.col("k.first.line_no").alias("kept_line_no"), F.col("k.distance").alias("distance"))
 
 
-def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def line_dedup(docs: DataFrame, near_chars: int = NEAR_CHARS) -> DataFrame:
     """One row per input row: doc_id, text without the lines that go, n_lines, n_removed.
 
-    Lines shorter than min_chars, and empty ones, stay.  A null text stays null with null counts, an empty one has one (empty) line.  Rows with a
+    Empty lines stay; lines shorter than near_chars go for an equal one only.  A null text stays null with null counts, an empty one has one (empty) line.  Rows with a
     null doc_id have no place in the order: they are returned unchanged and are nobody's earliest.  Rows that share a doc_id are
     one document; if their texts differ, each loses the lines at the numbers named for that id.  Extra columns are not read.
     """
     d = texts(docs)
-    gone = settled(duplicate_lines(docs, min_chars).groupBy(F.col("doc_id").alias("gone_id")).agg(F.collect_set("line_no").alias("gone")))
+    gone = settled(duplicate_lines(docs, near_chars).groupBy(F.col("doc_id").alias("gone_id")).agg(F.collect_set("line_no").alias("gone")))
     lines = F.split("text", "\n", -1)
     kept = F.filter(lines, lambda _, k: ~F.array_contains(F.col("gone"), k))
-    return d.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, d.doc_id == gone.gone_id, "left").select(
+    return joined(d, gone, d.doc_id == gone.gone_id, "left", 64, "4 * size(gone)").select(
         "doc_id",
         F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"),
         F.when(F.col("text").isNotNull(), F.size(lines)).cast("bigint").alias("n_lines"),

@@ -33,10 +33,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 _EDGE = " \t\r"
 LINE_DEDUP_SQL = f"""
 WITH l AS (SELECT doc_id, n, line, trim(line, concat(' ', chr(9), chr(13))) AS s FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n FROM documents)),
-o AS (SELECT doc_id, n, s, row_number() OVER (ORDER BY doc_id, n) AS pos FROM l WHERE length(s) >= {line_dedup.MIN_CHARS}),
+o AS (SELECT doc_id, n, s, row_number() OVER (ORDER BY doc_id, n) AS pos FROM l WHERE s <> ''),
 u AS (SELECT s, min(pos) AS pos, length(s) AS k FROM o GROUP BY s),
-h AS (SELECT *, 'a' || m || left(s, m // 2) AS key FROM (SELECT *, unnest([k, k - 1]) AS m FROM u)
-      UNION ALL SELECT *, 'b' || m || right(s, m - m // 2) FROM (SELECT *, unnest([k, k - 1]) AS m FROM u)),
+h AS (SELECT *, 'a' || m || left(s, m // 2) AS key FROM (SELECT *, unnest([k, k - 1]) AS m FROM u WHERE k >= {line_dedup.NEAR_CHARS})
+      UNION ALL SELECT *, 'b' || m || right(s, m - m // 2) FROM (SELECT *, unnest([k, k - 1]) AS m FROM u WHERE k >= {line_dedup.NEAR_CHARS})),
 p AS (SELECT DISTINCT b.s, b.pos FROM h a JOIN h b ON a.key = b.key AND a.pos < b.pos AND abs(a.k - b.k) <= 1 WHERE levenshtein(a.s, b.s) <= 1),
 g AS (SELECT doc_id, n FROM o JOIN u USING (s) WHERE o.pos <> u.pos UNION SELECT doc_id, n FROM o JOIN p ON o.pos = p.pos)
 SELECT doc_id, string_agg(line, chr(10) ORDER BY l.n) FILTER (g.n IS NULL) AS text, count(*) AS n_lines, count(g.n) AS n_removed

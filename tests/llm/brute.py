@@ -57,11 +57,11 @@ def edit1(a, b):
     return any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
 
 
-def line_dedup(docs, min_chars):
+def line_dedup(docs, near_chars):
     """{(doc_id, line_no)} that go, over rows with distinct ids."""
     at = [(i, k, s.strip(" \t\r")) for i, t in sorted(docs) for k, s in enumerate(t.split("\n"))]
-    at = [x for x in at if len(x[2]) >= min_chars]
-    return {(i, k) for p, (i, k, s) in enumerate(at) if any(s == r or edit1(s, r) for _, _, r in at[:p])}
+    at = [x for x in at if x[2]]
+    return {(i, k) for p, (i, k, s) in enumerate(at) if any(s == r or min(len(s), len(r)) >= near_chars and edit1(s, r) for _, _, r in at[:p])}
 
 
 def log_prob(log_p, s):

@@ -20,6 +20,7 @@ def test_lines_against_all_pairs(frame, seed):
     for i in range(25):
         lines = [s if (x := r.random()) < 0.3 else _edited(r, s) if x < 0.7 else _edited(r, _edited(r, s)) for s in r.choices(base, k=4)]
         docs.append((i, "\n".join((" " + s + "\r") if r.random() < 0.2 else s for s in lines)))
+    docs += [(100 + k, t) for k, t in enumerate(("Yes.\nNo.\nYes.", "\n\nYes.\nYep.\n \t", "a\nb\na", base[0][:19] + "\n" + base[0][:19] + "\n" + base[0][:18]))]
     gone = brute.line_dedup(docs, 20)
     got = {(x.doc_id, x.line_no) for x in line_dedup.duplicate_lines(frame(docs)).collect()}
     assert got == gone and gone
@@ -40,6 +41,7 @@ def test_lines_of_odd_rows(frame, odd_rows):
     assert {x.text for x in by[None]} == {odd_rows[0][1], None}
     assert by[6][0].n_removed == 0  # four characters more than that of 5
     assert by[4][0].text == odd_rows[5][1]
+    assert by[3][0].n_removed == 0  # empty lines
     assert line_dedup.line_dedup(frame([])).count() == 0
 
 
@@ -52,6 +54,14 @@ def test_very_long_lines_one_edit_apart(frame):
     assert got == {(2, 1), (3, 1)}
 
 
+def test_joins_that_are_not_broadcast_find_the_same(frame, monkeypatch):
+    docs = [(k, f"line {k % 7} of a page with boilerplate\nthe same\nanother line, number {k} of very many") for k in range(60)]
+    rows = lambda: sorted(map(tuple, line_dedup.duplicate_lines(frame(docs)).collect()))
+    want = rows()
+    monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", 0)
+    assert rows() == want and len(want) > 60
+
+
 def test_the_earliest_of_many_copies_stays(frame):
     line = "the very same line in very many documents"
     docs = [(k, line if k % 2 else line.replace("very m", "wery m")) for k in range(300)]
