@@ -19,7 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_token_counts": _documents(token_counts.token_counts),
         "op2_lm_scores": _documents(lm_scoring.lm_scores),
         "op3_line_dedup": _documents(line_dedup.line_dedup),
-        "op4_ngram_jaccard_join": _documents(ngram_jaccard.jaccard_pairs),
+        "op4_ngram_jaccard_join": _documents(ngram_jaccard.jaccard_links),
         "op5_quality_rules": lambda spark, sf_dir: quality_rules.ledger(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
         "op6_decontamination": lambda spark, sf_dir: decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
         "op7_token_binary": _documents(token_binary.token_binary),
@@ -45,15 +45,22 @@ FROM l LEFT JOIN g USING (doc_id, n) GROUP BY doc_id
 LINE_DEDUP_SQL = LINE_DEDUP_SQL.replace("string_agg(line, chr(10) ORDER BY l.n) FILTER (g.n IS NULL)", "coalesce(string_agg(line, chr(10) ORDER BY l.n) FILTER (g.n IS NULL), '')")
 
 JACCARD_SQL = f"""
-WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') AS w FROM documents),
-g AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= {ngram_jaccard.N} THEN list_transform(range(1, len(w) - {ngram_jaccard.N} + 2), lambda i: list_aggregate(w[i : i + {ngram_jaccard.N} - 1], 'string_agg', ' ')) ELSE [list_aggregate(w, 'string_agg', ' ')] END) AS g FROM w WHERE len(w) > 0),
-e AS (SELECT doc_id, len(g) AS n, unnest(g) AS x FROM g),
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') AS w FROM documents),
+s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) >= {ngram_jaccard.N} THEN list_transform(range(1, len(w) - {ngram_jaccard.N} + 2), lambda i: list_aggregate(w[i : i + {ngram_jaccard.N} - 1], 'string_agg', ' ')) ELSE [list_aggregate(w, 'string_agg', ' ')] END)) AS g FROM w WHERE len(w) > 0),
+g AS (SELECT g, min(doc_id) AS c, count(*) AS copies FROM s GROUP BY g),
+e AS (SELECT c, len(g) AS n, unnest(g) AS x FROM g),
 f AS (SELECT *, count(*) OVER (PARTITION BY x) AS df FROM e),
-r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY df, x) AS k FROM f),
+r AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY df, x) AS k FROM f),
 q AS (SELECT * FROM r WHERE df > 1 AND k <= n - ceil({ngram_jaccard.THRESHOLD} * n - 1e-9) + 1),
-c AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM q a JOIN q b ON a.x = b.x AND a.doc_id < b.doc_id AND least(a.n, b.n) >= {ngram_jaccard.THRESHOLD} * greatest(a.n, b.n)),
-j AS (SELECT a AS doc_a, b AS doc_b, len(list_intersect(x.g, y.g)) AS i, len(x.g) + len(y.g) AS t FROM c JOIN g x ON x.doc_id = a JOIN g y ON y.doc_id = b)
-SELECT doc_a, doc_b, i / (t - i) AS jaccard FROM j WHERE i / (t - i) >= {ngram_jaccard.THRESHOLD} - 1e-12
+p AS (SELECT DISTINCT a.c AS a, b.c AS b FROM q a JOIN q b ON a.x = b.x AND a.c < b.c AND least(a.n, b.n) >= {ngram_jaccard.THRESHOLD} * greatest(a.n, b.n)),
+j AS (SELECT a, b, x.copies AS na, y.copies AS nb, len(list_intersect(x.g, y.g)) AS i, len(x.g) + len(y.g) AS t FROM p JOIN g x ON x.c = a JOIN g y ON y.c = b),
+l AS MATERIALIZED (SELECT a, b, na, nb FROM j WHERE i / (t - i) >= {ngram_jaccard.THRESHOLD} - 1e-12),
+sym AS MATERIALIZED (SELECT a, b, nb AS n FROM l UNION ALL SELECT b, a, na FROM l),
+reached AS (SELECT c AS node, c AS least FROM g UNION SELECT b, least FROM reached JOIN sym ON a = node AND least < b),
+class AS (SELECT node, min(least) AS class_id FROM reached GROUP BY 1),
+links AS (SELECT a, sum(n) AS links FROM sym GROUP BY 1)
+SELECT doc_id, class_id, c AS copy_of, copies - 1 AS n_copies, CAST(copies - 1 + coalesce(links, 0) AS BIGINT) AS n_links
+FROM s JOIN g USING (g) JOIN class ON node = c LEFT JOIN links ON a = c WHERE copies > 1 OR links > 0
 """
 
 

@@ -85,51 +85,147 @@ def _copies(seed, vocabulary, n_groups=12):
     return docs
 
 
+def _wanted(docs, n, t):
+    """{doc_id: (class_id, copy_of, n_copies, n_links)} by brute force, over rows with distinct ids."""
+    pairs = brute.jaccard(docs, n, t)
+    label, found = brute.components(pairs), {}
+    for pair, s in pairs.items():
+        for i, j in (pair, pair[::-1]):
+            x = found.setdefault(i, [label[i], i, 0, 0])
+            x[3] += 1
+            if s > 1 - 1e-12:
+                x[1], x[2] = min(x[1], j), x[2] + 1
+    return {i: tuple(x) for i, x in found.items()}
+
+
+def _links(df, *options):
+    return {r.doc_id: (r.class_id, r.copy_of, r.n_copies, r.n_links) for r in ngram_jaccard.jaccard_links(df, *options).collect()}
+
+
 @pytest.mark.parametrize("seed,vocabulary,n,t", [(1, 3000, 5, 0.5), (2, 40, 3, 0.5), (3, 12, 2, 0.4), (4, 3000, 3, 0.8)])
-def test_pairs_against_all_pairs(frame, seed, vocabulary, n, t):
+def test_links_against_all_pairs(frame, seed, vocabulary, n, t):
     docs = _copies(seed, vocabulary)
-    got = {(r.doc_a, r.doc_b): r.jaccard for r in ngram_jaccard.jaccard_pairs(frame(docs), n, t).collect()}
-    want = brute.jaccard(docs, n, t)
-    assert got.keys() == want.keys() and want
-    assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
-    assert ngram_jaccard.jaccard_pairs(frame(docs), n, t).count() == len(want)
+    docs += [(2000 + k, x) for k, (_, x) in enumerate(docs[::5])]
+    want = _wanted(docs, n, t)
+    assert _links(frame(docs), n, t) == want and want
+    assert ngram_jaccard.jaccard_links(frame(docs), n, t).count() == len(want)
+
+
+@pytest.mark.parametrize("seed,n,t", [(1, 5, 0.5), (2, 2, 0.4)])
+def test_class_pairs_and_membership(frame, seed, n, t):
+    docs = _copies(seed, 200)
+    docs += [(2000 + k, x) for k, (_, x) in enumerate(docs[::4])]
+    rep = {r.doc_id: r.copy_of for r in ngram_jaccard.membership(frame(docs), n).collect()}
+    got = [(r.doc_a, r.doc_b, r.jaccard) for r in ngram_jaccard.class_pairs(frame(docs), n, t).collect()]
+    want = {(rep[a], rep[b]): s for (a, b), s in brute.jaccard(docs, n, t).items() if rep[a] != rep[b]}
+    want = {(min(p), max(p)): s for p, s in want.items()}
+    assert len(got) == len(want) > 0
+    assert all(abs(want[a, b] - s) < 1e-9 for a, b, s in got)
 
 
-def test_tiles_and_division_lose_nothing(frame, monkeypatch):
+def test_tiles_and_shuffled_joins_lose_nothing(frame, monkeypatch):
     monkeypatch.setattr(ngram_jaccard, "TILE", 7)
+    monkeypatch.setattr(ngram_jaccard, "BROADCAST_BYTES", 0)
     docs = _copies(9, 60, 20)
-    got = {(r.doc_a, r.doc_b) for r in ngram_jaccard.jaccard_pairs(frame(docs), 2, 0.6).collect()}
-    assert got == brute.jaccard(docs, 2, 0.6).keys()
+    assert _links(frame(docs), 2, 0.6) == _wanted(docs, 2, 0.6)
+
+
+def test_equal_bits_of_different_grams_lose_nothing(frame, monkeypatch):
+    """Where only 4 bits of a gram travel, nearly all collide."""
+    whole = ngram_jaccard.mix
+    monkeypatch.setattr(ngram_jaccard, "mix", lambda x: whole(x) & whole(x).dtype.type(0xFFFFFF000000000F))
+    docs = _copies(8, 500, 8)
+    flush = ngram_jaccard._Packed(5, 8)
+    for _, t in docs:
+        list(flush(__import__("pyarrow").record_batch({"doc_id": [0], "text": [t]})))
+    out, shared = flush.flush(), ngram_jaccard._Shared()
+    rows = []
+    for k in range(len(out["bucket"])):
+        shared.rows.append(tuple(out[c][k] for c in ("sids", "sizes", "counts", "grams")))
+        shared.rows.append(shared.rows[-1])  # read by another task as well
+        rows += list(shared.flush())
+    held = {}
+    for r in rows:
+        for sid, grams in zip(r["sid"].tolist(), r["grams"].tolist()):
+            held[sid] = held.get(sid, 0) + grams
+    hashes = ngram_jaccard.WordHashes()
+    for a, b in brute.jaccard(docs, 5, 0.5):
+        for i in (a, b):
+            g = ngram_jaccard.gram_set(hashes, dict(docs)[i], 5)
+            if brute.grams(dict(docs)[a], 5) != brute.grams(dict(docs)[b], 5):
+                assert len(g) / 2 <= held[ngram_jaccard._names(g)[0]] <= len(g)
+
+
+def _sets(groups, seed=4):
+    import numpy as np
+
+    r, sets = random.Random(seed), []
+    for base, count, *part in groups:
+        for _ in range(count):
+            own = set(r.sample(base, int(len(base) * (part[0] if part else 0.92)))) | {10_000_000 + 50 * len(sets) + k for k in range(0 if part else r.randint(0, 6))}
+            sets.append(np.array(sorted(own), np.uint64))
+    return sets
 
 
-def test_division_around_pivots(monkeypatch):
+def _divided(monkeypatch, sets, threshold):
+    """(pairs, [(depth, rows) of each block that was joined])."""
     import numpy as np
 
-    monkeypatch.setattr(ngram_jaccard, "LEAF", 10)
-    r = random.Random(4)
-    sets = []
-    for g in range(9):
-        base = set(range(g * 100, g * 100 + 40))
-        sets += [np.array(sorted(set(r.sample(sorted(base), 36)) | {10_000 + 50 * len(sets) + k for k in range(r.randint(0, 6))}), np.uint64) for _ in range(9)]
-    region = ngram_jaccard.Region(sets, 0.7)
-    found = {(int(a), int(b)) for x, y, _ in region.pairs(np.arange(len(sets)), np.ones(len(sets), bool)) for a, b in zip(x, y)}
-    full = [set(map(int, s)) for s in sets]
-    assert found == {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if len(full[a] & full[b]) / len(full[a] | full[b]) >= 0.7}
+    region, blocks, plain = ngram_jaccard.Region(sets, threshold), [], ngram_jaccard.Region.pairs
 
+    def seen(self, rows, mine=None, depth=0, radius=None):
+        blocks.append((depth, len(rows)))
+        yield from plain(self, rows, mine, depth, radius)
 
-def test_pairs_of_odd_rows(frame, odd_rows):
-    got = {(r.doc_a, r.doc_b): r.jaccard for r in ngram_jaccard.jaccard_pairs(frame(odd_rows, clash=True)).collect()}
-    want = brute.jaccard([(i, t) for i, t, *_ in odd_rows], ngram_jaccard.N, ngram_jaccard.THRESHOLD)
-    assert got.keys() == want.keys() == {(5, 6)}
-    assert ngram_jaccard.jaccard_pairs(frame([])).count() == 0
+    monkeypatch.setattr(ngram_jaccard.Region, "pairs", seen)
+    found = [(int(a), int(b)) for x, y, _ in region.pairs(np.arange(len(sets))) for a, b in zip(x, y)]
+    assert len(found) == len(set(found))
+    full = [set(map(int, s)) for s in sets]
+    assert set(found) == {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if len(full[a] & full[b]) / len(full[a] | full[b]) >= threshold}
+    return found, blocks
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.7, 0.9])
+def test_clusters_of_one_window_are_divided(monkeypatch, threshold):
+    """600 sets in 30 clusters, at the query's own threshold and constants: no cell holds more than its cluster."""
+    found, blocks = _divided(monkeypatch, _sets([(range(g * 1000, g * 1000 + 120), 20) for g in range(30)]), threshold)
+    assert max(n for depth, n in blocks if depth == 1) <= 40 and found or threshold == 0.9
+
+
+def test_cells_are_divided_again(monkeypatch):
+    """Clusters of a family are 0.6 apart.  One loose member makes a cell so wide that all the family is in its window; at half the radius it is apart."""
+    groups = []
+    for f in range(4):
+        common = list(range(f * 100_000, f * 100_000 + 72))
+        for g in range(8):
+            base = common + list(range(f * 100_000 + 1000 * (g + 1), f * 100_000 + 1000 * (g + 1) + 48))
+            groups += [(base, 30, 0.98), (base, 1, 0.8)]
+    sets = _sets(groups)
+    _, blocks = _divided(monkeypatch, sets, 0.5)
+    assert max(n for depth, n in blocks if depth == 1) <= 260 < len(sets)
+    assert any(depth == 1 and n > ngram_jaccard.LEAF for depth, n in blocks)
+    assert max(n for depth, n in blocks if depth == 2) <= 40
+
+
+def test_links_of_odd_rows(frame, odd_rows):
+    df = frame(odd_rows, clash=True)
+    assert {(r.doc_id, r.class_id, r.copy_of, r.n_copies, r.n_links) for r in ngram_jaccard.jaccard_links(df).collect()} == {(5, 5, 5, 0, 1), (6, 5, 6, 0, 1)}
+    assert ngram_jaccard.jaccard_links(frame([])).count() == 0
     assert ngram_jaccard.keep_one(frame([])).count() == 0
+    twice = frame([(1, "one text of seven words stands here"), (1, "another text that has seven words too"), (2, "another text that has seven words too"), (3, "One text of seven words stands here!")])
+    assert {(r.doc_id, r.class_id, r.n_links) for r in ngram_jaccard.jaccard_links(twice).collect()} == {(1, 1, 2), (2, 1, 1), (3, 1, 1)}
+
+
+def test_components_of_chains_stars_and_cycles(spark):
+    r = random.Random(1)
+    edges = [(k, k + 1) for k in range(100, 160)] + [(500, k) for k in range(501, 620)] + [(k, (k + 1) % 10 + 900) for k in range(900, 910)] + [(r.randrange(2000, 2200), r.randrange(2000, 2200)) for _ in range(150)] + [(7, 7)]
+    got = {x.node: x.least for x in ngram_jaccard.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    assert got == {i: j for i, j in brute.components(edges).items() if i != j}
 
 
 def test_one_of_each_group_stays(frame, odd_rows):
     docs = _copies(5, 2000)
     group = brute.components(brute.jaccard(docs, ngram_jaccard.N, ngram_jaccard.THRESHOLD))
-    got = {r.doc_id: r.group_id for r in ngram_jaccard.near_groups(frame(docs)).collect()}
-    assert got == group
     left = {r.doc_id for r in ngram_jaccard.keep_one(frame(docs)).collect()}
     assert left == {i for i, _ in docs if group.get(i, i) == i}
     kept = ngram_jaccard.keep_one(frame(odd_rows, clash=True))
