@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
 import re
-import shutil
-import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..sources.storage import scratch
+
 WORD = re.compile(r"\w+")
 #: Entries a Python worker keeps in one of its caches (words, of those of words' numbers) before it starts afresh; it bounds memory, not results.
 CACHE, WORDS = 300_000, 200_000
@@ -68,22 +67,6 @@ def map_columns(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Ite
     return df.mapInArrow(run, schema)
 
 
-def scratch(spark: SparkSession) -> str:
-    """The folder that all executors share: the session's spark.checkpoint.dir.  Only where that is unset, on one machine (tests), a temporary one is made."""
-    sc = spark.sparkContext
-    now = sc._jsc.sc().getCheckpointDir()
-    if now.isDefined():
-        return now.get()
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        if not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        where = tempfile.mkdtemp(prefix="fathomdex-")
-        atexit.register(shutil.rmtree, where, True)
-    sc.setCheckpointDir(where)
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
 def settled(df: DataFrame) -> DataFrame:
     """df, computed once into the shared checkpoint folder, so that a lost executor costs nothing that is read again."""
     scratch(df.sparkSession)

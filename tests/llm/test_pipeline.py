@@ -43,6 +43,30 @@ def test_stages(spark, sf_dir, frame):
         assert f(spark, extra, sf_dir).columns == [*COLUMNS, "gone"]
 
 
+def test_stages_take_odd_rows(spark, sf_dir, odd_rows, frame):
+    """Nulls, empty and very long texts, repeated rows and clashing columns: what each stage keeps of its predecessor's rows."""
+    docs = frame([*odd_rows, *odd_rows], clash=True)
+    kept = {}
+    for name, f in corpus_pipeline.STAGES:
+        docs = f(spark, docs, sf_dir).cache()
+        kept[name] = sorted((r.doc_id for r in docs.collect()), key=repr)
+    assert kept["quality_rules"] == sorted([x for x in (None, 4, 5, 5, 6, 7, 7, -9) for _ in "12" if x != 8] + [8] * (2 * (8 in kept["quality_rules"])), key=repr)
+    assert kept["ngram_jaccard_join"] == sorted([*({*kept["quality_rules"]} - {6}), 7], key=repr)  # one id has two texts
+    assert kept["decontamination"] == kept["ngram_jaccard_join"]
+    assert set(kept["mixing"]) <= set(kept["decontamination"]) - {None} and kept["token_binary"] == kept["mixing"]
+
+
+def test_run_leaves_only_its_result(spark, sf_dir):
+    import os
+
+    from fathomdex.sources.storage import scratch
+
+    corpus_pipeline.run(spark, sf_dir)
+    where = scratch(spark).removeprefix("file:")
+    left = [os.listdir(f"{where}/{x}") for x in os.listdir(where) if x.startswith("pipeline-")]
+    assert left and all(x == ["4_token_binary"] for x in left)
+
+
 def test_clean_documents_pass_the_filters(spark, sf_dir):
     """Labelled good and not toxic: kept by the quality stage."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
