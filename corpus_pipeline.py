@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from fathomdex.llm import decontamination, mixing, ngram_jaccard, quality_rules, token_binary
-from fathomdex.llm.common import scratch
+from fathomdex.sources import storage
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,9 +42,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    base = f"{scratch(spark)}/pipeline-{uuid.uuid4().hex}"
+    base, before = f"{storage.scratch(spark)}/pipeline-{uuid.uuid4().hex}", None
     for k, (name, stage) in enumerate(STAGES):
         path = f"{base}/{k}_{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            storage.remove(spark, before)  # what it held is in its successor
+        before = path
     return docs
