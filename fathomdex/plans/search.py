@@ -125,8 +125,8 @@ class SearchPlan:
         return (most, "gte") if n > most else (n, "eq")
 
 
-def plan(df: DataFrame, body: dict | None = None, mapping: dict[str, str] | None = None) -> SearchPlan:
-    """df: an index with _id, or the union of several with _index too.
+def plan(df: DataFrame, body: dict | None = None, mapping: dict[str, str] | None = None, postings=None) -> SearchPlan:
+    """df: an index with _id, or the union of several with _index too; postings: its inverted index, if it has one, which is used where it can answer.
 
     Aggregations and suggestions are over all matching documents and all documents; only hits are paged.  Without a sort, hits come by score if the
     query scores, then by _index and _id; these also break ties of a sort, and missing values come last.
@@ -141,7 +141,11 @@ def plan(df: DataFrame, body: dict | None = None, mapping: dict[str, str] | None
     fields = C.Fields(df, mapping)
     node = dsl.parse(body.get("query"))
     matched = df.where(C.compile(node, fields))
-    scored = scoring.matching_scored(df, node, fields) if scoring.is_text_query(node) else matched.withColumn("_score", F.lit(1.0))
+    if postings is not None and postings.answers(node, fields):
+        scored = postings.matching_scored(df, node, fields)
+        matched = scored.drop("_score")
+    else:
+        scored = scoring.matching_scored(df, node, fields) if scoring.is_text_query(node) else matched.withColumn("_score", F.lit(1.0))
     keys = sort_columns(body["sort"], fields) if body.get("sort") else [(F.col("_score"), True)] if scoring.is_text_query(node) else []
     ties = [F.col(c) for c in ("_index", "_id") if c in df.columns]
     hits = scored.orderBy(*(c.desc_nulls_last() if down else c.asc_nulls_last() for c, down in keys), *ties)
@@ -162,9 +166,9 @@ def _json(v):
     return v.isoformat() if hasattr(v, "isoformat") else v
 
 
-def search(df: DataFrame, body: dict | None = None, mapping: dict[str, str] | None = None) -> dict:
+def search(df: DataFrame, body: dict | None = None, mapping: dict[str, str] | None = None, postings=None) -> dict:
     """The response: took, hits, and aggregations and suggestions if asked for.  At most a page of rows and the buckets come to the driver."""
-    began, p = time.monotonic(), plan(df, body, mapping)
+    began, p = time.monotonic(), plan(df, body, mapping, postings)
     value, relation = p.total()
     found = []
     for r in p.hits.collect() if p.size else ():
@@ -181,26 +185,35 @@ def search(df: DataFrame, body: dict | None = None, mapping: dict[str, str] | No
     if specs:
         out["aggregations"] = aggs.evaluate(p.matched, specs, p.fields)
     if p.body.get("suggest"):
-        out["suggest"] = {n: [{"text": p.body["suggest"].get(n, {}).get("text", p.body["suggest"].get("text", "")), "options": [x.asDict() for x in s.collect()]}] for n, s in suggest.suggest(df, p.body["suggest"]).items()}
+        out["suggest"] = {n: [{"text": p.body["suggest"].get(n, {}).get("text", p.body["suggest"].get("text", "")), "options": [x.asDict() for x in s.collect()]}] for n, s in suggest.suggest(_dictionary_of(df, postings, p.body["suggest"]), p.body["suggest"]).items()}
     out["took"] = int((time.monotonic() - began) * 1000)
     return out
 
 
+def _dictionary_of(df: DataFrame, postings, body: dict):
+    named = {o["field"] for s in body.values() if isinstance(s, dict) for o in s.values() if isinstance(o, dict) and "field" in o}
+    return postings if postings is not None and named <= set(postings.fields) else df
+
+
 def count(df: DataFrame, query: dict | None = None, mapping: dict[str, str] | None = None) -> int:
     return df.where(C.compile(dsl.parse(query), C.Fields(df, mapping))).count()
 
 
 def scroll(df: DataFrame, body: dict | None = None, mapping: dict[str, str] | None = None, size: int = 1000):
-    """All hits in _id order, page by page: each page starts after the last key of the one before, so no offset is ever skipped over."""
+    """All hits in _id order, page by page.  They are sorted once, into the shared folder, as they are at the start; a page is then read from there."""
+    from ..sources import storage
+
     body = {k: v for k, v in (body or {}).items() if k not in ("from", "size", "sort")}
     p = plan(df, body | {"size": 0}, mapping)
-    rows, last = p.matched.select("_id", *(F.col(f"`{c}`") for c in source_columns(df, body.get("_source")) if c != "_id")), None
-    while True:
-        page = (rows if last is None else rows.where(F.col("_id") > last)).orderBy("_id").limit(size).collect()
-        if not page:
-            return
+    rows = storage.settled(p.matched.select("_id", *(F.col(f"`{c}`") for c in source_columns(df, body.get("_source")) if c != "_id")).orderBy("_id"))
+    page = []
+    for r in rows.toLocalIterator():  # one partition at a time
+        page.append(r)
+        if len(page) == size:
+            yield page
+            page = []
+    if page:
         yield page
-        last = page[-1]["_id"]
 
 
 class ResultCache:

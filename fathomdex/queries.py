@@ -14,6 +14,7 @@ from .plans import builder as B
 from .plans import dsl, search, sqlsubset
 from .plans.compile import Fields, compile
 from .sources.catalog import Catalog
+from .sources.postings import Postings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -141,8 +142,28 @@ def bm25_sql(table: str, key: str, c: str, tokens: list[str], where: str) -> str
 SELECT {key}, round(CASE WHEN {bm25(c, tokens, table)} > 0 THEN {bm25(c, tokens, table)} ELSE 1.0 END, 6) AS score FROM t, s WHERE {where}"""
 
 
+_INDEXED: dict[tuple, Postings] = {}
+
+
+def indexed(spark: SparkSession, sf_dir: str, table: str, *fields: str) -> Postings:
+    """The inverted index of a table's text fields, made once in a session, as a catalog does when rows are written."""
+    from .sources import postings
+
+    key = (spark.sparkContext.applicationId, sf_dir, table, fields)
+    if key not in _INDEXED:
+        df = search.identified(read(spark, sf_dir, table), KEYS[table])
+        _INDEXED[key] = postings.build(df, list(fields), _fresh(spark))
+    return _INDEXED[key]
+
+
 def _scored(name: str, table: str, query: dict, sql: str):
     @register(name, sql)
+    def by_postings(spark, sf_dir):
+        df = search.identified(read(spark, sf_dir, table), KEYS[table])
+        found = indexed(spark, sf_dir, table, "text").matching_scored(df, dsl.parse(query), Fields(df, mapping(table)))
+        return found.select(KEYS[table], F.round("_score", 6).alias("score"))
+
+    @register(name.replace("s_", "s_scan_"), sql)
     def run(spark, sf_dir):
         df = read(spark, sf_dir, table)
         return scoring.matching_scored(df, dsl.parse(query), Fields(df, mapping(table))).select(KEYS[table], F.round("_score", 6).alias("score"))
@@ -179,8 +200,8 @@ def _field_stats(spark, sf_dir):
 @register("s_top_k", bm25_sql("documents", "doc_id", "text", ["license", "the"], "f0 + f1 > 0") + " ORDER BY score DESC, CAST(doc_id AS VARCHAR) LIMIT 20")
 def _top_k(spark, sf_dir):
     df = search.identified(read(spark, sf_dir, "documents"), "doc_id")
-    node, fields = dsl.parse(B.match("text", "license the")), Fields(df)
-    return scoring.matching_scored(df, node, fields).withColumn("score", F.round("_score", 6)).orderBy(F.desc("score"), "_id").limit(20).select("doc_id", "score")
+    found = indexed(spark, sf_dir, "documents", "text").matching_scored(df, dsl.parse(B.match("text", "license the")), Fields(df))
+    return found.withColumn("score", F.round("_score", 6)).orderBy(F.desc("score"), "_id").limit(20).select("doc_id", "score")
 
 
 # presentation
@@ -229,8 +250,8 @@ def _by_mode(spark, sf_dir):
 @register("p_total_hits", "SELECT least(count(*), 500) AS value, CASE WHEN count(*) > 500 THEN 'gte' ELSE 'eq' END AS relation FROM orders WHERE o_orderstatus = 'F'")
 def _total(spark, sf_dir):
     df = search.identified(read(spark, sf_dir, "orders"), "o_orderkey")
-    matched = B.Search().term("o_orderstatus", "F").plan(df, mapping("orders")).matched
-    return matched.limit(501).agg(F.least(F.count("*"), F.lit(500)).cast("bigint").alias("value"), F.when(F.count("*") > 500, "gte").otherwise("eq").alias("relation"))
+    p = search.plan(df, B.Search().term("o_orderstatus", "F").build() | {"track_total_hits": 500}, mapping("orders"))
+    return spark.createDataFrame([p.total()], "value bigint, relation string")
 
 
 _MARKED = "array_to_string(list_transform(regexp_extract_all(text, '[A-Za-z0-9]+|[^A-Za-z0-9]+'), lambda x: CASE WHEN lower(x) IN ('mit', 'license') THEN '<em>' || x || '</em>' ELSE x END), '')"
@@ -349,9 +370,14 @@ def _suggest_prefix(spark, sf_dir):
     return suggest.prefix(read(spark, sf_dir, "part"), "p_name", "re")
 
 
-@register("g_phrase", "SELECT 'small ring' AS text, 0.5::DOUBLE AS score")
+_PHRASE = f"""WITH d AS (SELECT * FROM {_DICTIONARY}), w AS (SELECT * FROM (VALUES (0, 'smal'), (1, 'rinq'), (2, 'xyzzy'), (3, 'bolt')) AS v(pos, word)),
+n AS (SELECT pos, token, levenshtein(token, word) AS dist, row_number() OVER (PARTITION BY pos ORDER BY levenshtein(token, word), freq DESC, token) AS r FROM w JOIN d ON left(token, 1) = left(word, 1) AND levenshtein(token, word) <= 2)
+SELECT string_agg(coalesce(token, word), ' ' ORDER BY w.pos) AS text, avg(coalesce(1 / (1 + dist), 0)) AS score FROM w LEFT JOIN n ON w.pos = n.pos AND r = 1"""
+
+
+@register("g_phrase", _PHRASE)
 def _suggest_phrase(spark, sf_dir):
-    return suggest.phrase(search.identified(read(spark, sf_dir, "part"), "p_partkey"), "p_name", "smal rinq")
+    return suggest.phrase(search.identified(read(spark, sf_dir, "part"), "p_partkey"), "p_name", "smal rinq xyzzy bolt")
 
 
 @register("g_dictionary", f"SELECT token, freq FROM {_DICTIONARY}")
@@ -617,6 +643,9 @@ def _fresh(spark) -> str:
     return f"{storage.scratch(spark)}/query-{uuid.uuid4().hex}"
 
 
+from . import queries_store  # noqa: E402, F401  registers the queries of the catalog, files and services
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Full text, a filter, scores, a page and highlights in one request."""
     df = search.identified(read(spark, sf_dir, "documents"), "doc_id", "documents")

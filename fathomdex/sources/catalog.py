@@ -1,6 +1,10 @@
 """Indices by name: metadata, patterns, aliases, templates, policies and pipelines, over DataFrames kept as Parquet under one root.
 
-A write makes a new version folder and then swaps the metadata to it, so a failed or cancelled write leaves the index as it was.
+A write makes a new folder and then swaps the metadata to it, so a failed or cancelled write leaves the index as it was.  Writes of few documents add a
+delta: the new rows of the _ids they touch, or marks that they are gone, which reads merge over the base.  After MOST_DELTAS of them, or when they are
+no longer small, the index is written anew.  Folders that a write replaces stay for GRACE seconds, for those who still read them.
+
+With the setting index.postings, a list of text fields, a full write also makes the inverted index of those fields; requests use it as long as no delta is over it.
 """
 
 from __future__ import annotations
@@ -8,6 +12,7 @@ from __future__ import annotations
 import fnmatch
 import json
 import re
+import threading
 import time
 import uuid
 from dataclasses import dataclass, field
@@ -20,11 +25,14 @@ from ..operators.mapping import Mapping
 from ..plans import dsl, search
 from ..plans.ast import ParsingError
 from ..plans.compile import Fields, compile
+from . import postings as _postings
 from . import storage
 
 _NAME = re.compile(r"[a-zA-Z0-9\-.][a-zA-Z0-9_\-.]*")
 #: Indices that one request may address, and operations of one bulk request.
 MOST_INDICES, MOST_OPS = 1000, 1000
+#: Deltas over a base at most; rows of a write up to which it is a delta; seconds for which replaced folders stay; bulk requests that run at a time.
+MOST_DELTAS, DELTA_ROWS, GRACE, IN_FLIGHT = 8, 100_000, 600.0, 64
 
 
 class Missing(KeyError):
@@ -45,9 +53,11 @@ class IndexMeta:
     frame: DataFrame | None = None
     open: bool = True
     lifecycle: dict | None = None
+    deltas: list[str] = field(default_factory=list)
+    postings: str | None = None
 
     def to_json(self) -> dict:
-        return {"name": self.name, "created_at": self.created_at, "mapping": self.mapping.to_json(), "settings": self.settings, "path": self.path, "open": self.open, "lifecycle": self.lifecycle}
+        return {"name": self.name, "created_at": self.created_at, "mapping": self.mapping.to_json(), "settings": self.settings, "path": self.path, "open": self.open, "lifecycle": self.lifecycle, "deltas": self.deltas, "postings": self.postings}
 
 
 def valid_name(name: str) -> str:
@@ -65,6 +75,9 @@ class Catalog:
         self.components: dict[str, dict] = {}
         self.policies: dict[str, dict] = {}
         self.pipelines: dict[str, dict] = {}
+        self.repositories: dict[str, dict] = {}
+        self.retired: list[tuple[float, str]] = []
+        self.flights = threading.BoundedSemaphore(IN_FLIGHT)
         self.cache = search.ResultCache()
         self.tasks = lifecycle.Tasks(spark)
 
@@ -99,8 +112,9 @@ class Catalog:
             for members in self.aliases.values():
                 members.pop(n, None)
             self.cache.invalidate(n)
-            if m.path:
-                storage.remove(self.spark, m.path)
+            for p in (m.path, m.postings, *m.deltas):
+                if p:
+                    storage.remove(self.spark, p)
         self.aliases = {a: x for a, x in self.aliases.items() if x}
         return names
 
@@ -110,8 +124,40 @@ class Catalog:
             raise Conflict(f"index_closed_exception: [{name}]")
         if m.frame is None:
             m.frame = self.spark.read.parquet(m.path) if m.path else self.spark.createDataFrame([], "_id string, _seq_no bigint, _primary_term bigint, _version bigint")
+            if m.deltas:
+                m.frame = self._merged_frame(m.frame, m.deltas)
         return m.frame
 
+    def _merged_frame(self, base: DataFrame, deltas: list[str]) -> DataFrame:
+        """The base without the _ids of the deltas, and the last row of each of these that is not gone.  Deltas are few and small: their _ids are broadcast."""
+        every = None
+        for k, p in enumerate(deltas):
+            d = self.spark.read.parquet(p).withColumn("__delta", F.lit(k))
+            if every is None:
+                every = d
+            else:
+                a, b = mutate.aligned(every, d)
+                every = a.unionByName(b)
+        fields = [c for c in every.columns if c not in ("_id", "__delta")]
+        last = every.groupBy("_id").agg(F.max_by(F.struct(*(F.col(f"`{c}`") for c in fields)), "__delta").alias("x")).select("_id", "x.*")
+        a, b = mutate.aligned(base.join(F.broadcast(last.select("_id")), "_id", "left_anti"), last.where("not _deleted").drop("_deleted"))
+        return a.unionByName(b)
+
+    def _retire(self, *paths: str | None) -> None:
+        """Folders that are no longer the index's; they go GRACE seconds later, with some later write or vacuum()."""
+        now = time.time()
+        self.retired += [(now, p) for p in paths if p]
+        self.vacuum(GRACE)
+
+    def vacuum(self, older_than: float = 0.0) -> int:
+        """Removes replaced folders that were replaced so many seconds ago or more."""
+        now = time.time()
+        due = [p for at, p in self.retired if now - at >= older_than]
+        self.retired = [(at, p) for at, p in self.retired if now - at < older_than]
+        for p in due:
+            storage.remove(self.spark, p)
+        return len(due)
+
     def write(self, name: str, df: DataFrame) -> DataFrame:
         """df becomes the index's rows."""
         m = self.meta(name)
@@ -120,15 +166,51 @@ class Catalog:
         for f in ("_id", *m.settings.get("index.bloom_fields", ())):  # point lookups skip row groups by these
             writer = writer.option(f"parquet.bloom.filter.enabled#{f}", "true")
         writer.parquet(path)
-        old, m.path, m.frame = m.path, path, self.spark.read.parquet(path)
+        rows = self.spark.read.parquet(path)
+        indexed = [f for f in m.settings.get("index.postings", ()) if f in rows.columns]
+        postings = f"{path}-postings" if indexed else None
+        if postings:
+            _postings.build(rows, indexed, postings)
+        old = (m.path, m.postings, *m.deltas)
+        m.path, m.postings, m.deltas, m.frame = path, postings, [], rows
         self.cache.invalidate(name)
-        if old:
-            storage.remove(self.spark, old)
+        self._retire(*old)
         return m.frame
 
+    def _touch(self, name: str, before: DataFrame, after: DataFrame, touched: DataFrame) -> None:
+        """A delta: of the _ids touched, after has the rows that are there now.  before gives the columns that after may lack."""
+        m = self.meta(name)
+        here = after.drop("_index").withColumn("_deleted", F.lit(False))
+        gone = touched.select("_id").distinct().join(after.select("_id"), "_id", "left_anti").withColumn("_deleted", F.lit(True))
+        a, b = mutate.aligned(here, gone)
+        path = f"{self.root}/{name}/delta-{uuid.uuid4().hex}"
+        a.unionByName(b).coalesce(1).write.parquet(path)
+        m.deltas, m.frame = [*m.deltas, path], None
+        self.cache.invalidate(name)
+        if len(m.deltas) > MOST_DELTAS:
+            self.write(name, self.frame(name))
+
+    def _small(self, name: str, ids: DataFrame) -> bool:
+        """Whether a write of these _ids is a delta."""
+        return self.meta(name).path is not None and ids.limit(DELTA_ROWS + 1).count() <= DELTA_ROWS
+
+    def postings(self, pattern: str) -> _postings.Postings | None:
+        """The inverted index of a pattern that is one index without deltas or alias filters."""
+        names = self.resolve(pattern)
+        m = self.indices[names[0]] if len(names) == 1 else None
+        if m is None or m.postings is None or m.deltas or names[0] in self._alias_filters(pattern):
+            return None
+        return _postings.Postings(self.spark, m.postings)
+
     def compact(self, name: str, files: int = 1) -> None:
         self.write(name, self.frame(name).coalesce(files))
 
+    def segments(self, name: str) -> list[dict]:
+        """The folders that make up an index: its base, its deltas in order, its postings."""
+        m = self.meta(name)
+        found = [("base", m.path), *(("delta", p) for p in m.deltas), ("postings", m.postings)]
+        return [{"kind": k, "path": p, "size_in_bytes": storage.size(self.spark, p)} for k, p in found if p]
+
     def close(self, name: str) -> None:
         self.meta(name).open = False
 
@@ -159,7 +241,7 @@ class Catalog:
 
     def store_bytes(self, name: str) -> int:
         m = self.meta(name)
-        return storage.size(self.spark, m.path) if m.path else 0
+        return sum(storage.size(self.spark, p) for p in (m.path, *m.deltas) if p)
 
     def stats(self, name: str) -> dict:
         return {"docs": {"count": self.count(name)}, "store": {"size_in_bytes": self.store_bytes(name)}}
@@ -315,6 +397,84 @@ class Catalog:
                 raise Missing(f"component template [{c}]")
         self.templates[name] = body
 
+    def _entry(self, kind: str, name: str) -> dict:
+        found = getattr(self, kind)
+        if name not in found:
+            raise Missing(f"resource_not_found_exception: {kind} [{name}]")
+        return found[name]
+
+    def _delete_entry(self, kind: str, name: str) -> None:
+        self._entry(kind, name)
+        del getattr(self, kind)[name]
+
+    def get_template(self, name: str) -> dict:
+        return self._entry("templates", name)
+
+    def delete_template(self, name: str) -> None:
+        self._delete_entry("templates", name)
+
+    def put_component(self, name: str, body: dict) -> None:
+        if not isinstance(body.get("template"), dict):
+            raise ParsingError("parsing_exception: a component template needs template")
+        self.components[name] = body
+
+    def get_component(self, name: str) -> dict:
+        return self._entry("components", name)
+
+    def delete_component(self, name: str) -> None:
+        self._entry("components", name)
+        users = sorted(t for t, b in self.templates.items() if name in (b.get("composed_of") or ()))
+        if users:
+            raise Conflict(f"illegal_argument_exception: component [{name}] is used by {users}")
+        del self.components[name]
+
+    def put_policy(self, name: str, body: dict) -> None:
+        phases = body.get("policy", body).get("phases")
+        if not isinstance(phases, dict) or not set(phases) <= set(lifecycle.PHASES):
+            raise ParsingError(f"parsing_exception: a policy needs phases of {list(lifecycle.PHASES)}")
+        for p in phases.values():
+            lifecycle.seconds(p.get("min_age"))
+        self.policies[name] = body
+
+    def get_policy(self, name: str) -> dict:
+        return self._entry("policies", name)
+
+    def delete_policy(self, name: str) -> None:
+        self._entry("policies", name)
+        users = sorted(n for n, m in self.indices.items() if m.settings.get("index.lifecycle.name") == name)
+        if users:
+            raise Conflict(f"illegal_argument_exception: policy [{name}] is used by {users}")
+        del self.policies[name]
+
+    def put_pipeline(self, name: str, body: dict) -> None:
+        for p in body.get("processors") or []:
+            if len(p) != 1 or not set(p) <= {"set", "rename"}:
+                raise ParsingError(f"parsing_exception: unknown processor {sorted(p)}")
+        self.pipelines[name] = body
+
+    def get_pipeline(self, name: str) -> dict:
+        return self._entry("pipelines", name)
+
+    def delete_pipeline(self, name: str) -> None:
+        self._delete_entry("pipelines", name)
+
+    def put_repository(self, name: str, location: str) -> None:
+        """A folder for snapshots, by name."""
+        if not location:
+            raise ParsingError("parsing_exception: a repository needs a location")
+        self.repositories[valid_name(name)] = {"type": "fs", "settings": {"location": location}}
+
+    def get_repository(self, name: str) -> dict:
+        return self._entry("repositories", name)
+
+    def delete_repository(self, name: str) -> None:
+        """Forgets the repository; its snapshots stay where they are."""
+        self._delete_entry("repositories", name)
+
+    def location(self, repository: str) -> str:
+        """The folder of a repository's name; a path stands for itself."""
+        return self.repositories[repository]["settings"]["location"] if repository in self.repositories else repository
+
     def simulate(self, name: str, body: dict | None = None) -> dict:
         """mappings, settings and aliases of a new index: component templates, then the matching template of highest priority, then body."""
         hits = [t for t in self.templates.values() if any(fnmatch.fnmatchcase(name, p) for p in ([t["index_patterns"]] if isinstance(t["index_patterns"], str) else t["index_patterns"]))]
@@ -352,13 +512,17 @@ class Catalog:
         good, bad = marked.where("_error is null").drop("_error"), marked.where("_error is not null")
         if mapping.dynamic == "strict":  # in rows that passed, such fields are null
             good = good.drop(*[c for c in mapping.unknown_fields(known.columns)])
-        self.write(name, mutate.upsert(self.frame(name), good, order))
+        before = self.frame(name)
+        if self._small(name, good.select("_id")):
+            good = storage.settled(good)  # its ids are read again
+            ids = F.broadcast(good.select("_id").distinct())  # at most DELTA_ROWS
+            self._touch(name, before, mutate.upsert(before.join(ids, "_id", "left_semi"), good, order), ids)
+        else:
+            self.write(name, mutate.upsert(before, good, order))
         return bad
 
     def pipeline(self, name: str) -> dict:
-        if name not in self.pipelines:
-            raise Missing(f"pipeline [{name}]")
-        return self.pipelines[name]
+        return self._entry("pipelines", name)
 
     def simulate_pipeline(self, pipeline: str | dict, docs: DataFrame) -> DataFrame:
         """docs as the pipeline would leave them."""
@@ -368,10 +532,28 @@ class Catalog:
         """Suggestions from the dictionary of all indices of the pattern together, so that no text comes twice."""
         from ..operators import suggest
 
-        return suggest.suggest(self.scan(pattern), body)
+        return suggest.suggest(self.postings_of(pattern, body) or self.scan(pattern), body)
+
+    def postings_of(self, pattern: str, body: dict) -> _postings.Postings | None:
+        """The postings, if they have all fields that the suggestions of body name."""
+        p = self.postings(pattern)
+        named = {o["field"] for s in body.values() if isinstance(s, dict) for o in s.values() if isinstance(o, dict) and "field" in o}
+        return p if p is not None and named <= set(p.fields) else None
 
     def bulk(self, ops: DataFrame, index: str | None = None, most: int | None = MOST_OPS) -> DataFrame:
-        """Applies bulk operations (mutate.bulk's columns and, unless index is given, _index); returns a result per line.  most=None lifts the limit of a request."""
+        """Applies bulk operations (mutate.bulk's columns and, unless index is given, _index); returns a result per line.  most=None lifts the limit of a request.
+
+        At most IN_FLIGHT requests run at a time; more are refused, not queued.
+        """
+        if not self.flights.acquire(blocking=False):
+            raise Conflict(f"es_rejected_execution_exception: {IN_FLIGHT} bulk requests are running")
+        try:
+            return self._bulk(ops, index, most)
+        finally:
+            self.flights.release()
+
+    def _bulk(self, ops: DataFrame, index: str | None, most: int | None) -> DataFrame:
+        ops = storage.settled(ops)  # made ids must be the same in each reading
         if most is not None and ops.limit(most + 1).count() > most:
             raise ParsingError(f"request_entity_too_large: more than {most} operations")
         names = [index] if index else sorted(r[0] for r in ops.select("_index").distinct().limit(MOST_INDICES + 1).collect())
@@ -379,10 +561,18 @@ class Catalog:
         for n in names:
             target = self.write_index(n) if self.exists(n) else self.create(n).name
             mine = ops if index else ops.where(F.col("_index") == n)
-            after, r = mutate.bulk(self.frame(target), mine.drop("_index"))
-            path = f"{self.root}/_results/{uuid.uuid4().hex}"
+            before, path = self.frame(target), f"{self.root}/_results/{uuid.uuid4().hex}"
+            small = self._small(target, mine.select("_id"))
+            if small:
+                ids = F.broadcast(mine.select("_id").distinct())  # at most DELTA_ROWS
+                after, r = mutate.bulk(before.join(ids, "_id", "left_semi"), mine.drop("_index"))
+            else:
+                after, r = mutate.bulk(before, mine.drop("_index"))
             r.withColumn("_index", F.lit(target)).write.parquet(path)  # before the swap: the plan reads what the index was
-            self.write(target, after)
+            if small:
+                self._touch(target, before, after, ids)
+            else:
+                self.write(target, after)
             r = self.spark.read.parquet(path)
             results = r if results is None else results.unionByName(r)
         return results
@@ -417,7 +607,7 @@ class Catalog:
         key = search.ResultCache.key([pattern, *names], body)
         if cached and (hit := self.cache.get(key)) is not None:
             return hit
-        out = search.search(self.scan(pattern), body, self.mapping_of(pattern))
+        out = search.search(self.scan(pattern), body, self.mapping_of(pattern), self.postings(pattern))
         if cached:
             self.cache.put(key, names, out)
         return out
@@ -436,7 +626,7 @@ class Catalog:
 
     def save(self) -> None:
         """Metadata beside the data, so that load() finds everything again."""
-        state = {"indices": {n: m.to_json() for n, m in self.indices.items()}, **{k: getattr(self, k) for k in ("aliases", "templates", "components", "policies", "pipelines")}}
+        state = {"indices": {n: m.to_json() for n, m in self.indices.items()}, **{k: getattr(self, k) for k in ("aliases", "templates", "components", "policies", "pipelines", "repositories")}}
         storage.write_text(self.spark, f"{self.root}/_catalog.json", json.dumps(state))
 
     @classmethod
@@ -444,7 +634,7 @@ class Catalog:
         c = cls(spark, root)
         state = json.loads(storage.read_text(spark, f"{root}/_catalog.json"))
         for n, m in state.pop("indices").items():
-            c.indices[n] = IndexMeta(n, m["created_at"], Mapping(m["mapping"]), m["settings"], m["path"], None, m["open"], m["lifecycle"])
+            c.indices[n] = IndexMeta(n, m["created_at"], Mapping(m["mapping"]), m["settings"], m["path"], None, m["open"], m["lifecycle"], m.get("deltas") or [], m.get("postings"))
         for k, v in state.items():
             setattr(c, k, v)
         return c

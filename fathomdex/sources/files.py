@@ -7,7 +7,7 @@ import re
 import time
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -68,52 +68,83 @@ def line_count(spark: SparkSession, path: str) -> int:
     return spark.read.text(path).count()
 
 
-def bulk_operations(lines: DataFrame, order: str, schema: T.StructType, index: str | None = None) -> DataFrame:
-    """mutate.bulk's operations from the lines of NDJSON bodies: `value`, and the column `order` that numbers them.
+_ACTION = r'^\s*\{\s*"(index|create|update|delete)"\s*:\s*\{.*\}\s*\}\s*$'
+
+
+def _paired(lines: DataFrame, order: list[str]) -> DataFrame:
+    """lines with `name` (of an action they look like), `following` (the next line's value in the body), `owned` (a source of the line before) and `n`, numbered from 0.
+
+    A line that looks like no action, and one that looks like a delete, leave nobody waiting for a source; so a line is owned if an odd number of other
+    actions stand right before it.  Lines are split by ranges of their order; a split knows where it last started anew and how many lines
+    it has, and what it needs of the split before is one row.
+    """
+    spark = lines.sparkSession
+    name = F.regexp_extract("value", _ACTION, 1)
+    kept = lines.where(F.trim("value") != "").withColumn("name", F.when(name != "", name))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = kept.repartitionByRange(parts, "body", *order).sortWithinPartitions("body", *order).withColumn("part", F.spark_partition_id())
+    ranges = storage.settled(ranges.withColumn("k", F.monotonically_increasing_id() - F.shiftleft(F.col("part").cast("bigint"), 33)))
+    w = Window.partitionBy("part").orderBy("k")  # a range of lines, not a key's
+    new_body = (F.lag("body").over(w) != F.col("body")) & F.lag("body").over(w).isNotNull()
+    marked = ranges.withColumns({
+        "start": F.when(F.coalesce(new_body, F.lit(False)), F.col("k") - 1),
+        "anew": F.when(F.col("name").isNull() | (F.col("name") == "delete"), F.col("k")),
+        "next_value": F.lead("value").over(w), "next_body": F.lead("body").over(w),
+    })
+    summary = marked.groupBy("part").agg(F.count("*").alias("n"), F.max(F.greatest("start", "anew")).alias("anew"), F.min_by("body", "k").alias("first"), F.max_by("body", "k").alias("last")).orderBy("part").collect()  # a row a range
+    carried, at, waiting, before = [], 0, 0, None
+    for r in summary:
+        waiting = waiting if r["first"] == before else 0
+        carried.append((r["part"], at, waiting))
+        waiting = r["n"] - 1 - r["anew"] if r["anew"] is not None else waiting + r["n"]
+        at, before = at + r["n"], r["last"]
+    known = spark.createDataFrame(carried, "part int, __at bigint, waiting bigint")
+    after = {a["part"]: b["part"] for a, b in zip(summary, summary[1:])}
+    firsts = marked.where("k = 0").select(F.col("part").alias("of"), F.col("value").alias("first_value"), F.col("body").alias("first_body"))
+    chain = spark.createDataFrame(list(after.items()), "part int, of int")
+    known = known.join(chain.join(firsts, "of").select("part", "first_value", "first_body"), "part", "left")
+    joined = marked.join(F.broadcast(known), "part")  # a row, and one line of text, a range
+    last = F.greatest(F.max("start").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.max("anew").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    count = F.when(last.isNull(), F.col("waiting") + F.col("k")).otherwise(F.col("k") - 1 - last)
+    is_last = F.col("next_body").isNull()
+    following = F.when(~is_last & (F.col("next_body") == F.col("body")), F.col("next_value")).when(is_last & (F.col("first_body") == F.col("body")), F.col("first_value"))
+    return joined.select(*lines.columns, "name", (count % 2 == 1).alias("owned"), following.alias("following"), (F.col("__at") + F.col("k")).alias("n"))
+
+
+def bulk_operations(lines: DataFrame, order: str | list[str], schema: T.StructType, index: str | None = None) -> DataFrame:
+    """mutate.bulk's operations from the lines of NDJSON bodies: `value`, and the column `order` that numbers them, or several.
 
     An action line (an object whose one key is index, create, update or delete, with an object under it) owns the next line unless it deletes.  As
     a source may look like an action, lines are paired by counting from the start: line by line within each body, a body being one value of
-    the optional column `body`.
+    the optional column `body`; bodies apply one after another, by name.
     """
-    from pyspark.sql import Window
-
-    parts = [F.col("body")] if "body" in lines.columns else []
-    action = r'^\s*\{\s*"(index|create|update|delete)"\s*:\s*\{.*\}\s*\}\s*$'
-    name = F.regexp_extract("value", action, 1)
-    w = (Window.partitionBy(*parts) if parts else Window.partitionBy(F.lit(0))).orderBy(order)
-    kept = lines.where(F.trim("value") != "").withColumn("name", F.when(name != "", name))
-    # runs of lines that look like actions: after a line that does not, pairing starts anew
-    run = kept.withColumn("run", F.sum(F.col("name").isNull().cast("int")).over(w))
-    seq = w.partitionBy(*parts, "run") if parts else Window.partitionBy("run")
-    seq = seq.orderBy(order)
-    # within a run, a line is a source if the line before it is an action that is no delete; folded over the run's names
-    fold = F.aggregate(
-        F.collect_list(F.coalesce("name", F.lit("source"))).over(seq.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
-        F.lit("source"),
-        lambda was, x: F.when(was.isin("index", "create", "update"), F.lit("source")).otherwise(x),
-    )
-    role = run.withColumn("role", F.when(F.col("name").isNull(), F.lit("source")).otherwise(fold))
-    following = role.withColumn("source", F.lead("value").over(w))
-    ops = following.where("role != 'source'")
+    order = [order] if isinstance(order, str) else order
+    several = "body" in lines.columns
+    found = _paired(lines if several else lines.withColumn("body", F.lit("")), order)
+    ops = found.where("name is not null and not owned")
+    source = F.when(F.col("name") != "delete", F.col("following"))
     meta = F.from_json("value", "map<string,struct<_index:string,_id:string,if_seq_no:bigint,if_primary_term:bigint,version:bigint,version_type:string>>")
     ops = ops.withColumn("m", F.element_at(F.map_values(meta), 1))
-    body = F.when(F.col("role") == "update", F.get_json_object("source", "$.doc")).when(F.col("role") != "delete", F.col("source"))
-    ops = ops.withColumn("doc", body)
+    ops = ops.withColumn("doc", F.when(F.col("name") == "update", F.get_json_object(source, "$.doc")).otherwise(source))
     d = F.from_json("doc", schema)
-    line = F.col(order).cast("bigint")
-    if parts:  # bodies apply one after another, by name
-        bodies = ops.select("body").distinct().withColumn("at", F.row_number().over(Window.orderBy("body")))
-        ops, line = ops.join(F.broadcast(bodies), "body"), F.col("at").cast("bigint") * (1 << 32) + line
+    line = F.col("n") if several or len(order) > 1 else F.col(order[0]).cast("bigint")
     return ops.select(
-        line.alias("line"), F.col("role").alias("_op"), F.coalesce("m._id", F.expr("uuid()")).alias("_id"), F.coalesce("m._index", F.lit(index)).alias("_index"),
+        line.alias("line"), F.col("name").alias("_op"), F.coalesce("m._id", F.expr("uuid()")).alias("_id"), F.coalesce("m._index", F.lit(index)).alias("_index"),
         "m.if_seq_no", "m.if_primary_term", "m.version", "m.version_type", F.json_object_keys("doc").alias("fields"), *(d[f.name].alias(f.name) for f in schema.fields),
     )
 
 
+#: What puts the lines of numbered_lines in order within a body: where their split of the file starts, and a number that rises in it.
+PLACE = ["at", "line"]
+
+
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of text files with their place: file by file, in order.  A file is one body; wholetext keeps its lines together."""
-    files = spark.read.text(path, wholetext=True).withColumn("body", F.col("_metadata.file_path"))
-    return files.select("body", F.posexplode(F.split("value", "\r?\n")).alias("line", "value"))
+    """Lines of text files with their place, PLACE; each file is a body, read in splits like any other text."""
+    return with_place(spark.read.text(path)).withColumn("line", F.monotonically_increasing_id())
+
+
+def with_place(lines: DataFrame) -> DataFrame:
+    return lines.select(F.col("_metadata.file_path").alias("body"), F.col("_metadata.file_block_start").alias("at"), "value")
 
 
 # dumps
@@ -169,7 +200,7 @@ def snapshot(catalog, repository: str, name: str, pattern: str = "_all") -> dict
     """Parquet of each index and _meta.json, written last: a snapshot without it does not exist."""
     if not re.fullmatch(r"[a-z0-9][a-z0-9_.\-]*", name):
         raise ParsingError(f"invalid_snapshot_name_exception: [{name}]")
-    spark, base = catalog.spark, f"{repository}/{name}"
+    spark, base = catalog.spark, f"{catalog.location(repository)}/{name}"
     if storage.exists(spark, f"{base}/_meta.json"):
         raise ValueError(f"invalid_snapshot_name_exception: [{name}] exists")
     meta: dict = {"snapshot": name, "state": "SUCCESS", "created_at": int(time.time()), "indices": {}}
@@ -182,10 +213,12 @@ def snapshot(catalog, repository: str, name: str, pattern: str = "_all") -> dict
 
 
 def get_snapshot(catalog, repository: str, name: str) -> dict | None:
+    repository = catalog.location(repository)
     return json.loads(storage.read_text(catalog.spark, f"{repository}/{name}/_meta.json")) if storage.exists(catalog.spark, f"{repository}/{name}/_meta.json") else None
 
 
 def list_snapshots(catalog, repository: str) -> list[str]:
+    repository = catalog.location(repository)
     return [n for n in storage.names(catalog.spark, repository) if storage.exists(catalog.spark, f"{repository}/{n}/_meta.json")]
 
 
@@ -198,7 +231,7 @@ def restore_snapshot(catalog, repository: str, name: str, indices: list[str] | N
     for n, m in meta["indices"].items():
         if indices is not None and n not in indices:
             continue
-        df = catalog.spark.read.parquet(f"{repository}/{name}/{n}")
+        df = catalog.spark.read.parquet(f"{catalog.location(repository)}/{name}/{n}")
         count = df.count()
         if count != m["doc_count"]:
             raise ValueError(f"snapshot_restore_exception: [{n}] has {count} rows, not {m['doc_count']}")
@@ -213,5 +246,5 @@ def restore_snapshot(catalog, repository: str, name: str, indices: list[str] | N
 def delete_snapshot(catalog, repository: str, name: str) -> bool:
     there = get_snapshot(catalog, repository, name) is not None
     if there:
-        storage.remove(catalog.spark, f"{repository}/{name}")
+        storage.remove(catalog.spark, f"{catalog.location(repository)}/{name}")
     return there

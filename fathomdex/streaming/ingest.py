@@ -23,9 +23,8 @@ def read_parquet(spark: SparkSession, path: str, schema: T.StructType | str, fil
 
 
 def read_bulk(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
-    """NDJSON bulk bodies, a file each, as numbered lines."""
-    raw = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).option("wholetext", True).text(path).withColumn("body", F.col("_metadata.file_path"))
-    return raw.select("body", F.posexplode(F.split("value", "\r?\n")).alias("line", "value"))
+    """NDJSON bulk bodies, a file each, as lines with their place."""
+    return files.with_place(spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path))
 
 
 class _Once:
@@ -59,7 +58,7 @@ def bulk_into(stream: DataFrame, catalog, schema: T.StructType, checkpoint: str,
 
     def write(batch: DataFrame, n: int) -> None:
         if not once.seen(n):
-            ops = files.bulk_operations(batch, "line", schema, index)
+            ops = files.bulk_operations(batch.withColumn("line", F.monotonically_increasing_id()), files.PLACE, schema, index)
             catalog.bulk(ops, None, most=None)
             once.mark(n)
 
@@ -72,7 +71,10 @@ def _start(stream: DataFrame, write, checkpoint: str, available_now: bool):
 
 
 def date_histogram(stream: DataFrame, time: str, interval: str, late: str = "10 minutes", by: str | None = None, value: str | None = None, slide: str | None = None) -> DataFrame:
-    """key (epoch ms of the window's start), doc_count and, if value is named, sum_value, per tumbling or sliding window; rows later than `late` are dropped."""
+    """key (epoch ms of the window's start), doc_count and, if value is named, sum_value, per tumbling or sliding window.
+
+    In append and update mode, rows later than `late` are dropped and closed windows leave the state; complete mode keeps and updates all windows.
+    """
     t = F.col(time).cast("timestamp")
     keyed = stream.withColumn(time, t).withWatermark(time, late)
     groups = [F.window(F.col(time), interval, slide) if slide else F.window(F.col(time), interval)] + ([F.col(by)] if by else [])

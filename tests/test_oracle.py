@@ -48,10 +48,18 @@ def test_typed_predicates_reach_the_scan(spark, sf_dir):
 
 
 def test_scores_need_no_shuffle_of_documents(spark, sf_dir):
-    plan = queries.QUERIES["s_bm25_several"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    plan = queries.QUERIES["s_scan_bm25_several"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
 
 
+def test_postings_are_read_by_bucket_and_token_and_no_text_is(spark, sf_dir):
+    spark.conf.set("spark.sql.maxMetadataStringLength", 2000)
+    plan = queries.QUERIES["s_bm25_several"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [bucket" in plan or "bucket#" in plan.split("PartitionFilters: [", 1)[1].split("]")[0]
+    assert "In(token, [license,the,under])" in plan
+    assert "RLIKE" not in plan and "regexp_count" not in plan and "text#" not in plan.split("ReadSchema")[0]
+
+
 def test_entry(spark):
     import __spark_entry__
 

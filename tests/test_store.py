@@ -3,16 +3,20 @@
 import datetime as dt
 import json
 import os
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fathomdex import cli
-from fathomdex.operators import lifecycle, mutate, scripts
+from fathomdex.operators import lifecycle, mutate, scoring, scripts, suggest
 from fathomdex.operators.mapping import Mapping
 from fathomdex.plans import builder as B
+from fathomdex.plans import dsl
 from fathomdex.plans.ast import ParsingError
+from fathomdex.plans.compile import Fields
 from fathomdex.sources import files
 from fathomdex.sources.catalog import Catalog, Conflict, Missing
 from fathomdex.streaming import ingest
@@ -147,7 +151,7 @@ def test_bulk_bodies(catalog, spark, tmp_path):
     body = ['{"index":{"_index":"x","_id":"1"}}', '{"s":"a"}', '{"delete":{"_index":"x","_id":"1"}}', '{"create":{"_index":"x","_id":"2"}}', '{"index":{"a":{}}}', '{"update":{"_index":"y","_id":"3"}}', '{"doc":{"s":"u"}}', '{"index":{"_index":"y","_id":"4"}}', '{"s":"é \\"q\\""}', ""]
     (tmp_path / "b.ndjson").write_text("\n".join(body))
     schema = T.StructType([T.StructField("s", T.StringType())])
-    ops = files.bulk_operations(files.numbered_lines(spark, str(tmp_path / "b.ndjson")), "line", schema)
+    ops = files.bulk_operations(files.numbered_lines(spark, str(tmp_path / "b.ndjson")), files.PLACE, schema)
     assert [(r._op, r._index, r._id, r.s) for r in ops.orderBy("line").collect()] == [("index", "x", "1", "a"), ("delete", "x", "1", None), ("create", "x", "2", None), ("update", "y", "3", "u"), ("index", "y", "4", 'é "q"')]
     results = catalog.bulk(ops)
     assert rows(results, "_index", "_id", "_op", "status") == [("x", "1", "delete", 200), ("x", "1", "index", 201), ("x", "2", "create", 201), ("y", "3", "update", 404), ("y", "4", "index", 201)]
@@ -295,3 +299,94 @@ def test_bulk_streams(catalog, spark, tmp_path):
     schema = T.StructType([T.StructField("s", T.StringType())])
     ingest.bulk_into(ingest.read_bulk(spark, str(src)), catalog, schema, str(tmp_path / "cp2")).awaitTermination()
     assert rows(catalog.frame("z"), "_id", "s", "_version") == [("1", "second", 2)]
+
+
+def _paired(lines):
+    """(line number, op, source) of the operations of one body, read one line after another."""
+    out, k = [], 0
+    while k < len(lines):
+        m = re.match(r'\{"(index|create|update|delete)":\{.*\}\}$', lines[k])
+        if m and m[1] != "delete":
+            out.append((k, m[1], lines[k + 1] if k + 1 < len(lines) else None))
+            k += 2
+            continue
+        if m:
+            out.append((k, "delete", None))
+        k += 1
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_bulk_lines_against_reading_them_in_turn(spark, seed):
+    """Sources that look like actions, stray lines and runs of deletes, over bodies that are cut anywhere."""
+    r = random.Random(seed)
+    some = ['{"index":{"_id":"%d"}}', '{"create":{"_id":"%d"}}', '{"delete":{"_id":"%d"}}', '{"s":"%d"}']
+    bodies = {f"b{b}": [r.choices(some, (5, 2, 2, 3))[0] % k for k in range(r.choice((1, 7, 120)))] for b in range(6)}
+    rows = [(b, k, v) for b, lines in bodies.items() for k, v in enumerate(lines)]
+    r.shuffle(rows)
+    found = files._paired(spark.createDataFrame(rows, "body string, line bigint, value string"), ["line"]).where("name is not null and not owned")
+    got = {}
+    for x in found.orderBy("n").collect():
+        got.setdefault(x.body, []).append((x.line, x.name, None if x.name == "delete" else x.following))
+    want = {b: _paired(lines) for b, lines in bodies.items()}
+    assert got == {b: x for b, x in want.items() if x}
+    total = sum(map(len, bodies.values()))
+    assert sorted(x.n for x in files._paired(spark.createDataFrame(rows, "body string, line bigint, value string"), ["line"]).collect()) == list(range(total))
+
+
+def test_small_writes_are_deltas_and_read_like_full_ones(catalog, spark, monkeypatch):
+    from fathomdex.sources import catalog as C
+
+    r = random.Random(5)
+    base = spark.createDataFrame([(str(k), f"s{k}", k) for k in range(50)], "_id string, s string, v int")
+    for name in ("deltas", "full"):
+        catalog.create(name)
+        catalog.write(name, mutate.versioned(base))
+    for step in range(5):
+        new = spark.createDataFrame([(str(r.randrange(70)), f"x{step}", step) for _ in range(6)], "_id string, s string, v int").dropDuplicates(["_id"]).cache()
+        new.count()
+        ops = spark.createDataFrame([(k, r.choice(("index", "delete", "update", "create")), str(r.randrange(70)), f"b{step}") for k in range(8)], "line bigint, _op string, _id string, s string")
+        for name, small in (("deltas", 100_000), ("full", -1)):
+            monkeypatch.setattr(C, "DELTA_ROWS", small)
+            catalog.put(name, new)
+            got = catalog.bulk(ops, name)
+            statuses = rows(got, "line", "status") if name == "deltas" else statuses
+            assert rows(got, "line", "status") == statuses
+        assert rows(catalog.frame("deltas"), "_id", "s", "v", "_seq_no", "_version") == rows(catalog.frame("full"), "_id", "s", "v", "_seq_no", "_version")
+    assert not catalog.meta("full").deltas
+    assert [x["kind"] for x in catalog.segments("deltas")][0] == "base" and len(catalog.meta("deltas").deltas) == 10 - C.MOST_DELTAS - 1
+    catalog.compact("deltas")
+    assert len(catalog.segments("deltas")) == 1
+
+
+def test_readers_keep_what_a_write_replaces(catalog, spark):
+    catalog.create("a")
+    catalog.write("a", mutate.versioned(spark.createDataFrame([("1",)], "_id string")))
+    held = catalog.frame("a")
+    catalog.write("a", mutate.versioned(spark.createDataFrame([("2",), ("3",)], "_id string")))
+    assert held.count() == 1 and catalog.count("a") == 2
+    assert catalog.vacuum() == 1 and catalog.vacuum() == 0
+
+
+def test_postings_answer_like_a_scan(catalog, spark):
+    r = random.Random(3)
+    docs = [(str(k), " ".join(r.choices(["red", "ring", "small", "old", "bolt", "Größe", "x-ray"], k=r.randint(0, 9))), None if k % 7 == 0 else r.choice(["ring one", "two bolts", ""]), k % 5) for k in range(200)]
+    catalog.create("p", {"settings": {"index.postings": ["a", "b"]}})
+    catalog.write("p", mutate.versioned(spark.createDataFrame(docs, "_id string, a string, b string, n int")))
+    p, df = catalog.postings("p"), catalog.frame("p")
+    fields = Fields(df, None)
+    bodies = [B.match("a", "red x"), {"match": {"a": {"query": "red small", "operator": "and"}}}, B.match_phrase("a", "old bolt"), B.multi_match("ring bolts", ["a", "b"]), B.multi_match("ring", ["a", "b"], "most_fields"), B.match("a", "absent"),
+              B.bool_(must=[B.match("a", "red"), B.match("b", "ring two")], filter=[B.range_("n", gte=2)], must_not=[B.match("a", "old")])]
+    for body in bodies:
+        node = dsl.parse(body)
+        assert p.answers(node, fields)
+        got = {x._id: round(x._score, 9) for x in p.matching_scored(df, node, fields).collect()}
+        assert got == {x._id: round(x._score, 9) for x in scoring.matching_scored(df, node, fields).collect()}
+    assert not p.answers(dsl.parse(B.multi_match("ri", ["a", "b"], "phrase_prefix")), fields) and not p.answers(dsl.parse(B.bool_(should=[B.match("a", "red")])), fields)
+    for f in ("a", "b"):
+        assert rows(p.terms(f), "token", "freq", "source") == rows(suggest.dictionary(df, f), "token", "freq", "source")
+    first = catalog.search("p", {"query": B.match("a", "red")})["hits"]["total"]["value"]
+    catalog.put("p", spark.createDataFrame([("new", "red", None, 1)], "_id string, a string, b string, n int"))
+    assert catalog.postings("p") is None and catalog.search("p", {"query": B.match("a", "red")})["hits"]["total"]["value"] == first + 1
+    catalog.compact("p")
+    assert catalog.search("p", {"query": B.match("a", "red")})["hits"]["total"]["value"] == first + 1 and catalog.postings("p") is not None
