@@ -31,12 +31,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, distinct, gram_hashes, map_columns, mix, settled, texts, unused, without
+from .common import CACHE, WordHashes, distinct, gram_hashes, map_columns, mix, settled, texts, unused, without
 
 N = 5
 THRESHOLD = 0.5
-#: Grams of one bucket that a task sorts at a time.
-BUCKET = 3_000_000
+#: Grams of one bucket, about; of those that a task packs and sorts at a time.  They bound memory, not results.
+BUCKET, HELD, SORTED = 3_000_000, 1_000_000, 500_000
 #: Sets of a region that one task holds of each side; larger regions are joined tile by tile.
 TILE = 1500
 #: Cells up to this size are not divided again, and divisions after one another at most.
@@ -91,11 +91,13 @@ class _Packed:
             sid = _names(g)[0]
             if sid in self.known:
                 continue
+            if len(self.known) > CACHE:
+                self.known.clear()
             self.known.add(sid)
             self.sids.append(sid)
-            self.grams.append(g)
+            self.grams.append(mix(g))
             self.held += len(g)
-            if self.held > 2_000_000:
+            if self.held > HELD:
                 yield self.flush()
 
     def close(self):
@@ -104,21 +106,20 @@ class _Packed:
 
     def flush(self):
         size = np.array([len(g) for g in self.grams])
-        g = mix(np.concatenate(self.grams))
-        row = np.repeat(np.arange(len(size)), size)
-        b = ((g >> np.uint64(40)) % np.uint64(self.buckets)).astype(np.int64)
+        g, sids = np.concatenate(self.grams), np.array(self.sids, np.int64)
+        self.sids, self.grams, self.held = [], [], 0
+        b = ((g >> np.uint64(40)) % np.uint64(self.buckets)).astype(np.uint16 if self.buckets < 65536 else np.int32)
+        g = g.astype("<u4")
         by = np.argsort(b, kind="stable")
-        g, row, b = g[by], row[by], b[by]
-        ends = np.searchsorted(b, np.arange(self.buckets + 1))
-        sids = np.array(self.sids, np.int64)
+        g, ends = g[by], np.searchsorted(b[by], np.arange(self.buckets + 1, dtype=b.dtype))
+        row = np.repeat(np.arange(len(size), dtype=np.int32), size)[by]
         out: dict = {"bucket": [], "sids": [], "sizes": [], "counts": [], "grams": []}
         for k in range(self.buckets):
             lo, hi = ends[k], ends[k + 1]
             if lo < hi:
                 own, n = np.unique(row[lo:hi], return_counts=True)
-                for c, v in zip(out, (k, sids[own].tobytes(), size[own].astype("<u4").tobytes(), n.astype("<u4" if n.max() > 65535 else "<u2").tobytes(), g[lo:hi].astype("<u4").tobytes())):
+                for c, v in zip(out, (k, sids[own].tobytes(), size[own].astype("<u4").tobytes(), n.astype("<u4" if n.max() > 65535 else "<u2").tobytes(), g[lo:hi].tobytes())):
                     out[c].append(v)
-        self.sids, self.grams, self.held, self.known = [], [], 0, set()
         return out
 
 
@@ -146,15 +147,25 @@ class _Shared:
         sizes = np.concatenate([np.frombuffer(z, "<u4") for _, z, *_ in rows])
         counts = np.concatenate([np.frombuffer(c, "<u2" if len(c) * 4 == len(s) else "<u4").astype(np.int64) for s, _, c, _ in rows])
         gram = np.concatenate([np.frombuffer(g, "<u4") for *_, g in rows])
+        del rows
         sets, once, place = np.unique(sets, return_index=True, return_inverse=True)  # numbers in the order of the names
         size = sizes[once].astype(np.int64)
         again = np.ones(len(place), bool)
         again[once] = False  # a set that several tasks read counts once
-        key = np.sort((gram.astype(np.int64) << 32 | np.repeat(place, counts))[~np.repeat(again, counts)])
-        at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        place = np.repeat(np.where(again, -1, place).astype(np.int32), counts)
+        parts = len(gram) // SORTED + 1
+        for k in range(parts):  # all sets of a gram are in one part
+            here = (place >= 0) & (gram >= k * 2**32 // parts) & (gram <= (k + 1) * 2**32 // parts - 1)
+            yield from self.part(gram[here], place[here], sets, size)
+
+    @staticmethod
+    def part(gram, place, sets, size):
+        key = gram.astype(np.int64) << 32 | place
+        key.sort()
+        at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
         key, times = key[at], np.diff(np.r_[at, len(key)])  # grams of a set that are equal in these bits count each
         gram, own = key >> 32, key & 0xFFFFFFFF
-        first = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
+        first = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]]) if len(gram) else at
         df = np.diff(np.r_[first, len(gram)])
         pivot, df = np.repeat(own[first], df), np.repeat(df, df)  # the least set of the gram
         keep = df > 1

@@ -1,6 +1,9 @@
 import random
+import tracemalloc
 
 import brute
+import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -246,3 +249,65 @@ def test_one_row_of_repeated_ones(frame, odd_rows, spark):
     assert {r.source for r in rows.collect()} <= {"0", None} and {r["__text"] for r in rows.collect()} == {"x"}
     assert ngram_jaccard.one_row(twice.select("text", "doc_id")).count() == rows.count()
     assert ngram_jaccard.one_row(frame([])).count() == 0
+
+
+def _through(f, columns, schema):
+    out = [*(f(pa.RecordBatch.from_arrays([pa.array(columns[c], type=t) for c, t in schema.items()], names=[*schema])) or ()), *(f.close() or ())]
+    return {c: [v for x in out for v in x[c]] for c in (out[0] if out else ())}
+
+
+PACKED = {"bucket": pa.int32(), "sids": pa.binary(), "sizes": pa.binary(), "counts": pa.binary(), "grams": pa.binary()}
+
+
+def test_grams_are_packed_and_sorted_in_bounded_memory(monkeypatch):
+    """Of a bucket's grams only some are held in wide arrays: workers of an executor share its memory with the JVM."""
+    r = np.random.default_rng(5)
+    sets = [np.unique(r.integers(0, 2**63, 3000).astype(np.uint64)) for _ in range(900)]
+    sets = [np.union1d(s, t[:50]) for s, t in zip(sets, sets[1:] + sets[:1])]
+    monkeypatch.setattr(ngram_jaccard, "gram_set", lambda hashes, text, n: sets[int(text)])
+    n = sum(map(len, sets))
+    assert n > 2_500_000
+    tracemalloc.start()
+    packed = _through(ngram_jaccard._Packed(5, 1), {"doc_id": range(900), "text": [*map(str, range(900))]}, {"doc_id": pa.int64(), "text": pa.string()})
+    for_packing, _ = tracemalloc.get_traced_memory()[1], tracemalloc.reset_peak()
+    shared = _through(ngram_jaccard._Shared(), packed, PACKED)
+    for_sorting = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert max(for_packing, for_sorting) < 40 * n
+    assert sum(map(len, packed["grams"])) == 4 * n
+    by: dict = {}
+    for s, k in zip(shared["sid"], shared["grams"]):
+        by[s] = by.get(s, 0) + k
+    # 50 with each neighbour, and a few that are equal in the packed bits
+    assert len(by) == 900 and all(100 <= k < 110 for k in by.values())
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_grams_in_parts_are_shared_as_in_one(monkeypatch, seed):
+    r = np.random.default_rng(seed)
+    sets = [np.unique(r.integers(0, 400, r.integers(1, 60)).astype(np.uint64)) for _ in range(80)]
+    sets += sets[:20]  # copies, read again
+    monkeypatch.setattr(ngram_jaccard, "gram_set", lambda hashes, text, n: sets[int(text)])
+
+    def found():
+        packed = _through(ngram_jaccard._Packed(5, 3), {"doc_id": range(100), "text": [*map(str, range(100))]}, {"doc_id": pa.int64(), "text": pa.string()})
+        rows = sorted(zip(*packed.values()), key=lambda x: x[0])
+        shared = _through(ngram_jaccard._Shared(), dict(zip(packed, zip(*rows))), PACKED)
+        by: dict = {}
+        for s, z, p, k, m in zip(*(shared[c] for c in ("sid", "size", "pivot", "grams", "sets"))):
+            had = by.get((s, p), (z, 0, 0))
+            by[s, p] = (z, had[1] + k, max(had[2], m))
+        return by
+
+    own = {ngram_jaccard._names(s)[0]: {*s.tolist()} for s in sets}
+    want: dict = {}
+    for g in range(400):
+        held = sorted(s for s, x in own.items() if g in x)
+        for s in held if len(held) > 1 else ():
+            z, k, m = want.get((s, held[0]), (len(own[s]), 0, 0))
+            want[s, held[0]] = (z, k + 1, max(m, len(held)))
+    assert found() == want
+    monkeypatch.setattr(ngram_jaccard, "HELD", 100)
+    monkeypatch.setattr(ngram_jaccard, "SORTED", 37)
+    monkeypatch.setattr(ngram_jaccard, "CACHE", 10)
+    assert found() == want
